@@ -109,8 +109,8 @@ ORACLE = {
     "p2_loaded": rf"""WITH {_REASON},
       parts AS (SELECT *, regexp_extract(t, '([+-])(\d\d):(\d\d)$', ['s', 'h', 'm']) AS z, regexp_extract(t, '\.(\d+)', 1) AS frac FROM judged WHERE reason IS NULL)
       SELECT line_id, epoch_us(CAST(replace(t[1:19], 'T', ' ') AS timestamp)) + CAST(rpad(frac[1:6], 6, '0') AS bigint)
-        - CASE WHEN z.s = '' THEN 0 ELSE (CASE WHEN z.s = '-' THEN -1 ELSE 1 END) * (CAST(z.h AS bigint) * 60 + CAST(z.m AS bigint)) * 60000000 END AS received_us,
-        lower(p) AS payload_hex, CASE WHEN o = '' THEN NULL ELSE CAST(o AS bigint) END AS observation_id, g AS ground_station FROM parts""",
+        - CASE WHEN z.s = '' THEN 0 ELSE (CASE WHEN z.s = '-' THEN -1 ELSE 1 END) * (try_cast(z.h AS bigint) * 60 + try_cast(z.m AS bigint)) * 60000000 END AS received_us,
+        lower(p) AS payload_hex, try_cast(o AS bigint) AS observation_id, g AS ground_station FROM parts""",
     "p4_found": f"WITH {_USABLE} SELECT DISTINCT satellite_name, hour_start_ms FROM usable WHERE received_us > hour_start_ms * 1000 + 4200000000 AND received_us <= hour_start_ms * 1000 + 25200000000",
     "p4_revisions": f"""WITH {_USABLE},
       cells AS (SELECT satellite_name, hour_start_ms, CAST(greatest(0, ceil((received_us - hour_start_ms * 1000 - 4200000000) / 600000000.0)) AS int) AS revision,
