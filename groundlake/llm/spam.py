@@ -6,7 +6,7 @@ language, location and scale are median and median absolute deviation over all d
 the winsorised points gives a robust Mahalanobis distance. A text is a suspect if it is an outlier and its deviation,
 whitened, points in spam-directed directions: more links, tags or repetition, fewer function words, less entropy.
 Structured tokens point the other way, so logs, plans and tables are outliers of another direction. An exact check
-follows: most of the words must be links, link labels, tags or repeated keywords.
+follows: links, link labels, tags and words amid repeated keywords must make up the text, and structure must not.
 
 Language comes from script and function words, not from the declared one, which may be wrong; texts that show none
 are held against the statistics of all texts. Languages with fewer than ``least`` texts are too.
@@ -57,8 +57,9 @@ _LABEL_WORDS = 12
 
 @dataclass(frozen=True)
 class Rule:
-    distance: float = 5.0  # of the spam-directed part of the whitened deviation
-    share: float = 0.4  # of words that must be links, tags or keywords; what stands between keywords does not count
+    distance: float = 6.0  # of the spam-directed part of the whitened deviation
+    share: float = 0.2  # least share of links, tags and stuffed words; place names between keywords count as neither
+    structured: float = 0.1  # most structured tokens
     window: int = 8  # words to either side
     local_function: float = 0.25
     local_repeated: float = 0.6
@@ -228,7 +229,7 @@ def suspects(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule
             features = np.column_stack([b.column(3 + j).to_numpy() for j in range(len(FEATURES))]) if b.num_rows else np.zeros((0, len(FEATURES)))
             distance, directed = scores(features, b.column(1).to_pylist(), stats)
             share = b.column(2).to_numpy()
-            spam = (distance > rule.distance) & (directed > rule.distance) & (share > rule.share)
+            spam = (distance > rule.distance) & (directed > rule.distance) & (share > rule.share) & (features[:, -1] <= rule.structured)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(distance), pa.array(directed), b.column(2), pa.array(spam)], ["k", "lang", "distance", "directed", "share", "spam"])
 
     return found.mapInArrow(run, f"k {kind}, lang string, distance double, directed double, share double, spam boolean").withColumnRenamed("k", key)
