@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundlake.plans import problems
+from groundlake.plans import decoding, problems
 
-_MODULES = (problems,)
+_MODULES = (decoding, problems)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return problems.p1_found(spark, folder)
+    return decoding.packet_type_summary(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ def rows(df):
     cols = sorted(df.columns)
 
     def norm(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or type(v).__name__ in ("NAType", "NaTType") or (isinstance(v, float) and math.isnan(v)):
             return "NULL"
         if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
             v = v.tolist()
