@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundlake.functions.ordered import maximum_before, running_sums
+from groundlake.session import written
 
 ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|z|[+-]\d{2}:?\d{2}(:?\d{2})?)$"
 
@@ -137,7 +138,7 @@ def leading_countries(members: DataFrame, keys: list[str], top: int = 5) -> Data
     events = base.select(*keys, F.col("start").alias("t"), F.lit(1).alias("d"), (F.col("ordinal") * 2).alias("_o"), "country")
     events = events.unionByName(base.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("d"), (F.col("ordinal") * 2 + 1).alias("_o"), "country"))
     events = running_sums(events, keys, _day("t"), ["t", "_o"], {"event_no": F.lit(1)})
-    events = events.withColumn("event_no", F.col("event_no").cast("int"))
+    events = written(events.withColumn("event_no", F.col("event_no").cast("int")), "events")
     of = W.partitionBy(*keys, "country").orderBy("event_no")
     counts = events.filter("country IS NOT NULL").withColumn("n", F.greatest(F.lit(0), F.sum("d").over(of.rowsBetween(W.unboundedPreceding, 0))))
     counts = counts.withColumn("_fresh", F.when((F.col("n") == 1) & (F.col("d") == 1), F.col("event_no")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from groundlake.functions.ordered import running_sums
 from groundlake.operators import coverage
 from groundlake.plans.tables import table
+from groundlake.session import written
 
 #: The group whose stations are merged: one satellite's observations in the reference tool; here an observer's.
 KEYS = ["observer"]
@@ -19,7 +20,7 @@ def _members(spark: SparkSession, folder: str) -> DataFrame:
     good, _ = coverage.split_rejects(rows)
     day = F.floor(F.unix_micros("start") / F.lit(86_400_000_000)).cast("bigint")
     numbered = running_sums(good, KEYS, day, ["start", "end", "id", "ground_station"], {"ordinal": F.lit(1)})
-    return coverage.assign_windows(numbered, KEYS)
+    return written(coverage.assign_windows(written(numbered, "numbered"), KEYS), "members")
 
 
 def _windows(spark: SparkSession, folder: str) -> DataFrame:
