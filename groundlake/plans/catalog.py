@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groundlake.plans import coverage_queries, decoding, problems
+from groundlake.plans import agenda_queries, coverage_queries, decoding, problems
 
-_MODULES = (decoding, coverage_queries, problems)
+_MODULES = (decoding, coverage_queries, agenda_queries, problems)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
