@@ -17,6 +17,8 @@ def rows(df):
             return "NULL"
         if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
             v = v.tolist()
+        if isinstance(v, float) and v.is_integer() and abs(v) < 2**53:
+            return str(int(v))
         if isinstance(v, float):
             return f"{v:.9g}"
         if hasattr(v, "isoformat"):
@@ -29,7 +31,7 @@ def rows(df):
 def compare(spark, con, entry, folder, name):
     t = time.time()
     mine = entry.queries()[name](spark, folder)
-    got = mine.toPandas() if not any(k == "binary" for _, k in mine.dtypes) else mine.toPandas()
+    got = mine.toPandas()
     took = time.time() - t
     sql = entry.oracle_sql().get(name)
     if sql is None:
