@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from groundlake.functions.batches import laid_out
+
 DEFAULT_FOLDER = "/opt/tokenizers"
 DEFAULT_NAME = "byte_bpe_50k"
 #: fixed value: the pattern of byte_bpe_50k
@@ -211,7 +213,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str
     long_rows = rows.filter(size > long_chars).select("k", F.monotonically_increasing_id().alias("copy"), "text")
     cuts = long_rows.mapInArrow(pieces, f"k {kind}, copy bigint, seq int, n int, hard boolean, run boolean, piece string")
     spread = cuts.repartition("copy", "seq").mapInArrow(far, f"k {kind}, copy bigint, seq int, n int, hard boolean, ids array<int>")
-    long_ids = spread.repartition("copy").sortWithinPartitions("copy", "seq").mapInArrow(together, f"k {kind}, ids array<int>")
+    long_ids = laid_out(spread, ["copy"], "seq").mapInArrow(together, f"k {kind}, ids array<int>")
     return short.unionByName(long_ids).withColumnRenamed("k", key)
 
 
