@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -47,3 +49,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int =
     if held:
         t = pa.Table.from_batches(held).combine_chunks()
         yield t, np.flatnonzero(changes(t, keys))
+
+
+def laid_out(df: DataFrame, keys: list[str], *order) -> DataFrame:
+    """Each key's rows in one partition, sorted by key and ``order``, for functions over Arrow batches.
+
+    The hash is an expression of the keys: a plain repartition by the keys of a join below it would be dropped as
+    redundant, and adaptive execution may then change that join and scatter its keys.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundlake.functions.batches import whole_groups
+from groundlake.functions.batches import laid_out, whole_groups
 
 DAY_US = 86_400_000_000
 
@@ -76,7 +76,7 @@ def block_periods(intervals: DataFrame, block_us: int = DAY_US) -> DataFrame:
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks().take(take) for k in key), pa.array(a_out, pa.int64()), pa.array(z_out, pa.int64())], [*key, "lo", "hi"])
 
-    laid = intervals.select("entity", _block(F.col("lo"), block_us).alias("block"), "lo", "hi").repartition(*key).sortWithinPartitions(*key)
+    laid = laid_out(intervals.select("entity", _block(F.col("lo"), block_us).alias("block"), "lo", "hi"), key)
     return laid.mapInArrow(run, "entity string, block bigint, lo bigint, hi bigint")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundlake.functions.batches import whole_groups
+from groundlake.functions.batches import laid_out, whole_groups
 from groundlake.functions.crc import trailer_valid
 from groundlake.functions.csp import HEADER_BITS, header_u32
 
@@ -132,10 +132,10 @@ def mark_copies(rows: DataFrame, horizon_us: int = HORIZON_US, block_us: int = B
     spans = rows.groupBy(*key).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     links = spans.select(*key, (F.col("lo") - F.lag("hi").over(by_id) <= horizon_us).alias("before"), (F.lead("lo").over(by_id) - F.col("hi") <= horizon_us).alias("after"))
     links = links.filter("before OR after").select(*key, (~F.coalesce("before", F.lit(False))).alias("fresh"))
-    tables = rows.join(links, key).repartition(*key).sortWithinPartitions(*key, "ts").select("message_id", "block", "ts", "fresh").mapInArrow(lambda it: _block_tables(it, horizon_us, block_us), _LINKS)
-    carry = tables.repartition("message_id").sortWithinPartitions(*key).mapInArrow(lambda it: _carries(it, horizon_us), _CARRY)
-    ordered = rows.join(carry, key, "left").repartition(*key).sortWithinPartitions(*key, "ts", F.asc_nulls_last("row_id"))
-    return ordered.select("message_id", "block", "ts", "row_id", "carry").mapInArrow(lambda it: _flags(it, horizon_us, block_us), _FLAGGED)
+    tables = laid_out(rows.join(links, key).select("message_id", "block", "ts", "fresh"), key, "ts").mapInArrow(lambda it: _block_tables(it, horizon_us, block_us), _LINKS)
+    carry = laid_out(tables, ["message_id"], "block").mapInArrow(lambda it: _carries(it, horizon_us), _CARRY)
+    ordered = laid_out(rows.join(carry, key, "left").select("message_id", "block", "ts", "row_id", "carry"), key, "ts", F.asc_nulls_last("row_id"))
+    return ordered.mapInArrow(lambda it: _flags(it, horizon_us, block_us), _FLAGGED)
 
 
 class MessageArchive:

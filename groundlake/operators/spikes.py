@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from groundlake.functions.batches import whole_groups
+from groundlake.functions.batches import laid_out, whole_groups
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ def implausible(usable: DataFrame, source: str, key: str, limits: dict[str, tupl
     first, last = (F.greatest(F.lit(0), F.floor((F.col("rank") + d) / F.lit(rule.block))).cast("bigint") for d in (-rule.halo, rule.halo))
     rows = rows.select("source", "field", F.explode(F.sequence(first, last)).alias("block"), own.alias("_own"), "us", "id", "value", "scatter")
     group = ["source", "field", "block"]
-    laid = rows.withColumn("core", F.col("block") == F.col("_own")).drop("_own").repartition(*group).sortWithinPartitions(*group, "us", "id")
+    laid = laid_out(rows.withColumn("core", F.col("block") == F.col("_own")).drop("_own"), group, "us", "id")
     kind = laid.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from groundlake.functions.batches import whole_groups
+from groundlake.functions.batches import laid_out, whole_groups
 
 SWITCH, BACKWARD, AGAINST_RULE = 1.0, 1.0, 1e6
 BACK_TOLERANCE_US = 86_400_000_000
@@ -274,7 +274,7 @@ def choose(readings: DataFrame, source: list[str], order: str, block: int = 4096
     rows = readings.filter(F.size("readings") > 0).withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
     key = [*source, "_block"]
     kept = rows.columns
-    laid = rows.repartition(*key).sortWithinPartitions(*key, order)
+    laid = laid_out(rows, key, order)
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, key):
@@ -322,10 +322,10 @@ def choose(readings: DataFrame, source: list[str], order: str, block: int = 4096
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(cols, key)] + [pa.array(c, pa.int32()) for c in cols[len(key) :]], [*key, "_first", "_last"])
 
-    ends = summary.repartition(*source).sortWithinPartitions(*key).mapInArrow(chains, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", _first int, _last int")
+    ends = laid_out(summary, source, "_block").mapInArrow(chains, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", _first int, _last int")
     e = ends.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(key)], "_first", "_last")
     same = [rows[k].eqNullSafe(e[f"_e{i}"]) for i, k in enumerate(key)]
-    joined = rows.join(e, [c for c in same]).select(*kept, "_first", "_last").repartition(*key).sortWithinPartitions(*key, order)
+    joined = laid_out(rows.join(e, same).select(*kept, "_first", "_last"), key, order)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, key):
