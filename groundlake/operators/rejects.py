@@ -1,7 +1,8 @@
 """Lines that fail to parse (problem 2).
 
-Blocks of lines are parsed as a whole by columnar Arrow kernels. A block with any fault is bisected until single
-bad lines are left; only those are read character by character to name the first reason that applies.
+Blocks of lines are parsed as a whole by columnar Arrow kernels. A block with any fault is bisected until failing
+blocks of a few lines are left; only those are read character by character, which isolates the bad lines and names
+the first reason that applies.
 
 Reasons, in order: ``quoting``, ``columns``, ``timestamp``, ``payload``, ``observation``. Defined results: a null
 line has no fields and is a ``columns`` fault, so is an empty line; a leading byte-order mark and one trailing CR
@@ -15,6 +16,7 @@ import re
 from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -146,25 +148,46 @@ def diagnose(line: str | None) -> str | None:
     return None
 
 
-def _bisect(lines: pa.Array, out: list[list[pa.Array]]) -> None:
-    """Appends the columns of ``lines`` in order. Recursion depth is the logarithm of the block size."""
+def _bisect(lines: pa.Array, at: int, leaf: int, good: list[tuple[int, list[pa.Array]]], doubtful: list[int]) -> None:
+    """Parses what it can in whole blocks; rows of failing blocks of at most ``leaf`` lines become doubtful.
+
+    Recursion depth is the logarithm of the block size.
+    """
     try:
-        out.append(parse_block(lines))
-        return
+        good.append((at, parse_block(lines)))
     except BlockFault:
-        pass
-    if len(lines) > 1:
-        half = len(lines) // 2
-        _bisect(lines.slice(0, half), out)
-        _bisect(lines.slice(half), out)
-        return
-    reason = diagnose(lines[0].as_py())
-    if reason is None:
-        raise AssertionError(f"the columnar path refuses a valid line: {lines[0].as_py()!r}")
-    out.append([pa.nulls(1, t) for _, t in _ARROW[:-1]] + [pa.array([reason], pa.string())])
-
-
-def parse_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", block_rows: int = 512) -> DataFrame:
+        n = len(lines)
+        if n <= leaf:
+            doubtful.extend(range(at, at + n))
+            return
+        _bisect(lines.slice(0, n // 2), at, leaf, good, doubtful)
+        _bisect(lines.slice(n // 2), at + n // 2, leaf, good, doubtful)
+
+
+def parse_batch(lines: pa.Array, block_rows: int, leaf: int) -> list[pa.Array]:
+    """The output columns of a batch, in its order."""
+    good: list[tuple[int, list[pa.Array]]] = []
+    doubtful: list[int] = []
+    for a in range(0, len(lines), block_rows):
+        _bisect(lines.slice(a, block_rows), a, leaf, good, doubtful)
+    places = [np.arange(at, at + len(columns[0])) for at, columns in good]
+    parts = [columns for _, columns in good]
+    reasons = [diagnose(lines[i].as_py()) for i in doubtful]
+    fine = [i for i, r in zip(doubtful, reasons, strict=True) if r is None]
+    if fine:  # valid lines beside bad ones; all of them parse as one block, or the two paths disagree
+        places.append(np.array(fine))
+        parts.append(parse_block(lines.take(pa.array(fine))))
+    bad = [(i, r) for i, r in zip(doubtful, reasons, strict=True) if r is not None]
+    if bad:
+        places.append(np.array([i for i, _ in bad]))
+        parts.append([pa.nulls(len(bad), t) for _, t in _ARROW[:-1]] + [pa.array([r for _, r in bad], pa.string())])
+    if not parts:
+        return [pa.array([], t) for _, t in _ARROW]
+    order = pa.array(np.argsort(np.concatenate(places), kind="stable"))
+    return [pa.concat_arrays([p[k].cast(t) for p in parts]).take(order) for k, (_, t) in enumerate(_ARROW)]
+
+
+def parse_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", block_rows: int = 512, leaf: int = 16) -> DataFrame:
     """(key, received_us, payload_hex, observation_id, ground_station, reason), one row a line.
 
     ``reason`` is null for the loaded rows and tells the fault of the others, whose parsed columns are null.
@@ -175,12 +198,7 @@ def parse_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", blo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = b.column(1)
-            parts: list[list[pa.Array]] = []
-            for a in range(0, b.num_rows, block_rows):
-                _bisect(text.slice(a, block_rows), parts)
-            columns = [pa.chunked_array([p[i] for p in parts], t).combine_chunks() if parts else pa.array([], t) for i, (_, t) in enumerate(_ARROW)]
-            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+            columns = parse_batch(b.column(1), block_rows, leaf)
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["k", *[n for n, _ in _ARROW]])
 
     return source.mapInArrow(run, f"k {kind}, {OUTPUT}").withColumnRenamed("k", key)

@@ -58,8 +58,8 @@ def test_columnar_and_strict_paths_agree(noise, place):
 def test_lines_are_bisected_in_any_block_size(spark):
     rows = [(k, GOOD if k % 7 else "bad") for k in range(400)] + [(None, None)]
     df = spark.createDataFrame(rows, "line_id bigint, raw_line string").selectExpr("*", "'x' AS reason", "1 AS k")
-    for size in (1, 13, 512):
-        out = rejects.parse_lines(df, block_rows=size)
+    for size, leaf in ((1, 1), (13, 2), (512, 16)):
+        out = rejects.parse_lines(df, block_rows=size, leaf=leaf)
         assert out.filter("reason IS NULL").count() == sum(1 for k, r in rows if r == GOOD)
         assert sorted((-1 if r.line_id is None else r.line_id, r.reason) for r in rejects.faults(out).collect()) == sorted((k if k is not None else -1, "columns") for k, r in rows if r != GOOD)
     assert rejects.parse_lines(df.limit(0)).count() == 0
