@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,10 +50,15 @@ _TOKEN = re.compile(
     r"|(?P<word>[^\W_]+(?:[.:,'’=@+/()_!$-]+[^\W_]+)*)",
     re.IGNORECASE,
 )
+_WORD = re.compile(r"[^\W_]+(?:[.:,'’=@+/()_!$-]+[^\W_]+)*")
+#: characters without which a line holds nothing but words
+_SPECIAL = re.compile(r"[<#$€£/぀-ヿ㐀-鿿豈-﫿]|www\.", re.IGNORECASE)
 _PARTS = re.compile(r"[^\W_]+(?:['’!$@][^\W_]+)*")
 _STRUCTURED = re.compile(r"\d.*[:.=(/+-]|[:.=(/+-].*\d|^[0-9a-f]{2}$|^(?=.*\d)[0-9a-f]{6,}$", re.IGNORECASE)
 _LEET = re.compile(r"[aeiouäöüáéíóúàèâêîôûy0-9!@$]")
+_DOTTED = re.compile(r"[^\W\d_]+(?:\.{2,}[^\W_]+)+")
 _LABEL_WORDS = 12
+_LANGUAGES = {w: tuple(k for k, own in WORDS_OF.items() if w in own) for w in ALL_WORDS}
 
 
 @dataclass(frozen=True)
@@ -69,12 +75,29 @@ class Rule:
     least: int = 200
 
 
+def _add_word(value: str, words: list[str], kinds: list[str]) -> None:
+    if value.isalpha():
+        words.append(value.lower())
+        kinds.append("w")
+    elif _STRUCTURED.search(value) and not _DOTTED.fullmatch(value):
+        words.append(value)
+        kinds.append("s")
+    else:
+        parts = _PARTS.findall(value.lower())
+        words.extend(parts)
+        kinds.extend("w" * len(parts))
+
+
 def _tokens(text: str) -> tuple[list[str], list[str]]:
     """Words and their kinds: l(ink), t(ag), s(tructured), h(iragana), w(ord)."""
     words: list[str] = []
     kinds: list[str] = []
     for line in text.splitlines():
         first, links = len(words), 0
+        if not _SPECIAL.search(line):  # plain words, the most common case
+            for value in _WORD.findall(line):
+                _add_word(value, words, kinds)
+            continue
         for m in _TOKEN.finditer(line):
             kind, value = m.lastgroup, m.group()
             if kind == "anchor":
@@ -93,13 +116,7 @@ def _tokens(text: str) -> tuple[list[str], list[str]]:
                 words.append(value)
                 kinds.append("h" if "぀" <= value <= "ゟ" else "w")
             elif kind == "word":
-                if _STRUCTURED.search(value) and not re.fullmatch(r"[^\W\d_]+(?:\.{2,}[^\W_]+)+", value):
-                    words.append(value)
-                    kinds.append("s")
-                else:
-                    for w in _PARTS.findall(value.lower()):
-                        words.append(w)
-                        kinds.append("w")
+                _add_word(value, words, kinds)
         if links:
             # a link's label: the few other words of its line, if they make no sentence
             rest = [i for i in range(first, len(words)) if kinds[i] == "w"]
@@ -109,12 +126,21 @@ def _tokens(text: str) -> tuple[list[str], list[str]]:
     return words, kinds
 
 
+@lru_cache(maxsize=65_536)
+def _shape(word: str) -> str:
+    """The word with vowels and what stands in for them made equal."""
+    return _LEET.sub("*", word)
+
+
 def language(words: list[str], kinds: list[str]) -> str:
     """By script and function words; "all" if nothing tells."""
     n = len(words) or 1
     if sum(k == "h" for k in kinds) > 0.1 * n:
         return "ja"
-    hits = {k: sum(w in own for w in words) for k, own in WORDS_OF.items()}
+    hits = dict.fromkeys(WORDS_OF, 0)
+    for w in words:
+        for k in _LANGUAGES.get(w, ()):
+            hits[k] += 1
     best = max(hits, key=hits.__getitem__)
     return best if hits[best] >= 3 and hits[best] >= 0.05 * n else "all"
 
@@ -127,7 +153,7 @@ def point(text: str, rule: Rule = Rule()) -> tuple[str, list[float], float] | No
         return None
     function = [k == "h" or (k == "w" and w in ALL_WORDS) for w, k in zip(words, kinds, strict=True)]
     content = [k in "wa" and not f and not w.isdigit() for w, k, f in zip(words, kinds, function, strict=True)]
-    shape = [_LEET.sub("*", w) if c and len(w) > 2 else w for w, c in zip(words, content, strict=True)]
+    shape = [_shape(w) if c and len(w) > 2 else w for w, c in zip(words, content, strict=True)]
     counts = Counter(s for s, c in zip(shape, content, strict=True) if c)
     often = [c and counts[s] >= rule.repeats for s, c in zip(shape, content, strict=True)]
     last: dict[str, int] = {}
@@ -138,16 +164,22 @@ def point(text: str, rule: Rule = Rule()) -> tuple[str, list[float], float] | No
             last[s] = i
     total = Counter(shape)
     entropy = -sum(c / n * math.log2(c / n) for c in total.values()) / math.log2(max(2, n))
-    link, tag, structured = (np.array([k in x for k in kinds]) for x in ("la", "t", "s"))
-    f = [link.mean(), tag.mean(), sum(function) / n, sum(often) / n, close / n, entropy, structured.mean()]
+    link, tag, structured = (sum(map(kinds.count, x)) for x in ("la", "t", "s"))
+    f = [link / n, tag / n, sum(function) / n, sum(often) / n, close / n, entropy, structured / n]
+    marked = [k in "lat" for k in kinds]
+    if f[3] < 0.1:  # too few repeated words for any surroundings of keywords to matter
+        return language(words, kinds), f, sum(marked) / n
     # words in surroundings of repeated keywords: sums over windows by prefix sums
-    columns = np.array([function, often, content, structured], float)
-    prefix = np.concatenate([np.zeros((4, 1)), np.cumsum(columns, axis=1)], axis=1)
-    a, z = np.maximum(0, np.arange(n) - rule.window), np.minimum(n, np.arange(n) + rule.window + 1)
-    fn, of, co, st = (prefix[:, z] - prefix[:, a])
+    st_one = [k == "s" for k in kinds]
+    columns = np.array([function, often, content, st_one], float)
+    prefix = np.zeros((4, n + 1))
+    np.cumsum(columns, axis=1, out=prefix[:, 1:])
+    at = np.arange(n)
+    a, z = np.maximum(0, at - rule.window), np.minimum(n, at + rule.window + 1)
+    fn, of, co, st = prefix[:, z] - prefix[:, a]
     size = z - a
-    stuffed = (fn <= rule.local_function * size) & (of >= rule.local_repeated * np.maximum(co, 1)) & (co * 2 >= size) & (st <= rule.local_structured * size) & ~structured
-    return language(words, kinds), [float(x) for x in f], float((link | tag | stuffed).mean())
+    stuffed = (fn <= rule.local_function * size) & (of >= rule.local_repeated * np.maximum(co, 1)) & (co * 2 >= size) & (st <= rule.local_structured * size) & (columns[3] == 0)
+    return language(words, kinds), f, float((stuffed | np.array(marked)).mean())
 
 
 _POINTS = "k {kind}, lang string, share double, " + ", ".join(f"{f} double" for f in FEATURES)
