@@ -56,7 +56,7 @@ def hourly_counts(events: DataFrame, entity: str, time: str, lateness: str = "6
     return events.withWatermark(time, lateness).groupBy(F.window(time, "1 hour"), entity).agg(F.count("*").alias("n")).select(entity, F.col("window.start").alias("hour"), "n")
 
 
-def latest_beacons(beacons: DataFrame, state: DataFrame | None, by: str = "satellite_name", time: str = "received_timestamp") -> DataFrame:
+def latest_beacons(beacons: DataFrame, state: DataFrame | None = None, by: str = "satellite_name", time: str = "received_timestamp") -> DataFrame:
     """The latest beacon of each satellite out of a batch and the table so far; for foreachBatch upserts."""
     rows = beacons if state is None else state.unionByName(beacons, allowMissingColumns=True)
     names = rows.columns
