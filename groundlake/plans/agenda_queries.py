@@ -146,7 +146,7 @@ ORACLE = {
     "sheet_values": """WITH v AS (SELECT *, agenda_id % 24 AS h, agenda_id % 60 AS m, CASE WHEN agenda_id % 7 = 2 THEN 0 ELSE agenda_id % 59 END AS s FROM agenda),
       t AS (SELECT *, 1767571200000 + ((h * 60 + m) * 60 + s) * 1000 AS a FROM v)
       SELECT agenda_id, CASE agenda_id % 7 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE a + CASE WHEN a < 1767578400000 THEN 86400000 ELSE 0 END END AS ms,
-        CAST(next_hours * CASE WHEN agenda_id % 2 = 0 THEN 1000000 ELSE 60000000 END AS BIGINT) AS span_us, CASE WHEN agenda_id % 5 = 0 THEN 0 ELSE CAST(trunc(uplink_dur_min) AS INT) END AS number FROM t""",
+        CAST(next_hours * CASE WHEN agenda_id % 2 = 0 THEN 1000000 ELSE 60000000 END AS BIGINT) AS span_us, CASE WHEN agenda_id % 5 = 0 THEN 0 ELSE coalesce(CAST(trunc(uplink_dur_min) AS INT), 0) END AS number FROM t""",
     "file_chunks": f"WITH {_FILES} SELECT doc_id, chunk, \"offset\", data_hex FROM pieces",
     "file_uplink_hex": _uplink("'CTS1+bulkup16(' || data_hex || ')'", True),
     "file_uplink_base64": _uplink("'CTS1+bulkup64(' || to_base64(unhex(data_hex)) || ')'", False),

@@ -10,7 +10,7 @@ from groundlake.operators import coverage
 from groundlake.plans.tables import table
 from groundlake.session import written
 
-#: The group whose stations are merged: one satellite's observations in the reference tool; here an observer's.
+#: The group whose stations are merged, here an observer's.
 KEYS = ["observer"]
 
 
