@@ -57,6 +57,10 @@ _PARTS = re.compile(r"[^\W_]+(?:['’!$@][^\W_]+)*")
 _STRUCTURED = re.compile(r"\d.*[:.=(/+-]|[:.=(/+-].*\d|^[0-9a-f]{2}$|^(?=.*\d)[0-9a-f]{6,}$", re.IGNORECASE)
 _LEET = re.compile(r"[aeiouäöüáéíóúàèâêîôûy0-9!@$]")
 _DOTTED = re.compile(r"[^\W\d_]+(?:\.{2,}[^\W_]+)+")
+#: repeated separators, which join words to one token; runs of different ones belong to commands
+_RUN = re.compile(r"\.{2,}|-{2,}|:{2,}|,{2,}|={2,}|\+{2,}|/{2,}|_{2,}")
+#: a word of such a chain, where "!", "$" and "@" stand for letters at its ends and in a row too
+_LINKED = re.compile(r"(?:[^\W_]|['’!$@])+")
 _LABEL_WORDS = 12
 _LANGUAGES = {w: tuple(k for k, own in WORDS_OF.items() if w in own) for w in ALL_WORDS}
 
@@ -75,11 +79,33 @@ class Rule:
     least: int = 200
 
 
+def _chain(value: str) -> list[str] | None:
+    """The parts of words joined by repeated separators; None for other tokens.
+
+    A name and its number ("rail1....23") are a row of a table, and pairs with other separators than dots are code:
+    most parts must hold letters, and without dots there must be three.
+    """
+    parts = _RUN.split(value)
+    if len(parts) < 2 or (len(parts) == 2 and ".." not in value):
+        return None
+    lettered = sum(any(map(str.isalpha, p)) for p in parts)
+    return parts if lettered * 2 > len(parts) or _DOTTED.fullmatch(value) else None
+
+
 def _add_word(value: str, words: list[str], kinds: list[str]) -> None:
     if value.isalpha():
         words.append(value.lower())
         kinds.append("w")
-    elif _STRUCTURED.search(value) and not _DOTTED.fullmatch(value):
+    elif parts := _chain(value):
+        for part in parts:
+            if _STRUCTURED.search(part) and not part.isalpha():
+                words.append(part)
+                kinds.append("s")
+            else:
+                own = [w.strip("'’") for w in _LINKED.findall(part.lower()) if any(map(str.isalnum, w))]
+                words.extend(own)
+                kinds.extend("w" * len(own))
+    elif _STRUCTURED.search(value):
         words.append(value)
         kinds.append("s")
     else:

@@ -115,3 +115,28 @@ def test_spam_pages(spark):
     got = [r.doc_id for r in spam.suspects(df).filter("spam").collect()]
     assert sorted(got) == [1, 1, 2, 3, 4, 5]
     assert spam.suspects(df.limit(0)).count() == 0
+
+
+def test_pages_joined_by_dots(spark):
+    words = "rain wind snow light night radio tower cable sensor panel".split()
+    normal = [(100 + k, " ".join(PROSE % (k * 7 % 90 + j, (k + j) % 24, words[(k + j) % 10]) for j in range(1 + k % 4))) for k in range(260)]
+    g = random.Random(3)
+    keywords = ["panel", "p4n!l", "c!nn4ct!r", "r0t@tor", "$dr", "pr!!mp", "sal!", "2026", "antenna", "4nt3nn4"]
+    page = [g.choice(keywords) for _ in range(150)]
+    spam_pages = {
+        1: "...".join(["for", *page]),  # disguised by "!", "$" and "@"
+        2: "...".join(["4nt3nn4", *page]),  # digit in the first word
+        3: "...".join(["5", *page]),
+        4: "--".join(["panel", *page]),
+        5: "\n".join(f"p4n!l..{w}..sal!" for w in page),
+    }
+    fine = {
+        11: "\n".join(f"rail{k}......{k}.{k % 7}" for k in range(40)),
+        12: "\n".join(f"rail{k % 9}......{k}" for k in range(40)),
+        13: "\n".join(f"rail{k % 9}....{k}....{k + 3}" for k in range(40)),
+        14: "\n".join(f"mode{k % 9}=={k}" for k in range(40)),
+        15: "\n".join(f"{k}..{k + 9}" for k in range(40)),
+    }
+    df = spark.createDataFrame([*spam_pages.items(), *fine.items(), *normal], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in spam.suspects(df).filter("spam").collect()) == list(spam_pages)
+    assert spam._tokens("p4n!l...4d4pter...pr!!mp...10:30...sal!...sdr") == (["p4n!l", "4d4pter", "pr!!mp", "10:30", "sal!", "sdr"], ["w", "w", "w", "s", "w", "w"])
