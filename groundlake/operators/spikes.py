@@ -1,8 +1,10 @@
 """Implausible readings, judged by each source's own course (problem 6).
 
 Per source and field, readings in order of event time run through a Kalman filter with a level and a slope
-(integrated white noise acceleration, irregular time steps), once forward and once backward. A reading whose
-standardised innovation exceeds the threshold is withheld from the update; when more than ``longest`` successive
+(integrated white noise acceleration, irregular time steps), once forward and once backward. The acceleration is
+that of orbit swings, in seconds, but for a slow source no more than its median interval can tell. A reading whose
+standardised innovation exceeds the threshold, or that is further off than a spike from a course that is sure, is
+withheld from the update; when more than ``longest`` successive
 readings are withheld, the change is lasting and the filter restarts on them. Both predictions of a reading
 together are the course its neighbours show. A withheld reading is a spike if it lies more than ``spike`` times the
 source's usual scatter off that course, both predictions agree on it, and at most ``longest`` spikes follow each
@@ -21,7 +23,7 @@ times are ordered by id; repeated rows are judged as readings of their own; extr
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,7 @@ class Judgement:
     stuck: int = 8
     #: spectral density of the acceleration, in scatter^2 / s^3
     drive: float = 4e-8
+    most_drive: float = 0.5  # the same in scatter^2 / (median interval)^3, which bounds it for slow sources
     agree: float = 5.0  # times the predictions' own uncertainty
     unsure: float = 2.5  # a course less sure than so many scatters proves nothing
     block: int = 4096
@@ -48,7 +51,7 @@ class Judgement:
 
 def predictions(t: list[float], y: list[float], use: list[bool], rule: Judgement) -> tuple[list[float], list[float], list[bool]]:
     """One-step predictions of the level, their variances, and the withheld readings; y in units of the scatter."""
-    n, q, thr2 = len(t), rule.drive, rule.innovation**2
+    n, q, thr2, bar, sure = len(t), rule.drive, rule.innovation**2, rule.spike**2, rule.unsure**2
     mean, var, held = [0.0] * n, [float("inf")] * n, [False] * n
     level = slope = a = b = c = 0.0  # state and its covariance [[a, b], [b, c]]
     last, begun = 0.0, False
@@ -67,7 +70,7 @@ def predictions(t: list[float], y: list[float], use: list[bool], rule: Judgement
             level, slope, a, b, c, last, begun = y[i], 0.0, 1.0, 0.0, 1e-3, t[i], True
             continue
         e, s = y[i] - level, a + 1.0
-        if e * e > thr2 * s:
+        if e * e > thr2 * s or (e * e > bar and a <= sure):
             held[i] = True
             run.append(i)
             if len(run) > rule.longest:
@@ -94,13 +97,18 @@ def equal_runs(y: np.ndarray, stuck: int) -> np.ndarray:
     return np.repeat(length >= stuck, length)
 
 
-def judge(t: np.ndarray, y: np.ndarray, scatter: float, low: float, high: float, rule: Judgement = Judgement()) -> np.ndarray:
-    """True for the implausible readings of one ordered series; ``t`` in seconds."""
+def judge(t: np.ndarray, y: np.ndarray, scatter: float, low: float, high: float, rule: Judgement = Judgement(), interval: float | None = None) -> np.ndarray:
+    """True for the implausible readings of one ordered series; ``t`` in seconds, ``interval`` the source's median one."""
     outside = (y < low) | (y > high)
     still = equal_runs(y, rule.stuck)
     out = outside | still
     if not np.isfinite(scatter) or scatter <= 0:
         return out
+    if interval is None:
+        steps = np.diff(t)
+        interval = float(np.median(steps[steps > 0])) if (steps > 0).any() else 0.0
+    if interval > 0:
+        rule = replace(rule, drive=min(rule.drive, rule.most_drive / interval**3))
     times, scaled = (t - t[0]).tolist(), (y / scatter).tolist()
     back, turned = [times[-1] - x for x in reversed(times)], scaled[::-1]
     found = np.zeros(len(y), bool)
@@ -138,28 +146,34 @@ def long_readings(usable: DataFrame, source: str, key: str, fields: list[str]) -
 
 
 def ranked(readings: DataFrame, limits: dict[str, tuple[float, float]]) -> DataFrame:
-    """Adds ``rank`` (from 0, exact, within source and field) and ``scatter``, without a task for a whole source.
+    """Adds ``rank`` (from 0, exact, within source and field), ``scatter`` and ``interval``, without a task for a whole source.
 
     Scatter: 1.4826 times the median absolute deviation of readings from the line between their two neighbours,
-    brought to the scale of one reading; over readings within the limits.
+    brought to the scale of one reading; over readings within the limits. Interval: the median of the positive
+    seconds between neighbours. The neighbours at the edge of an hour come from one summary row an hour.
     """
     hour = ["source", "field", "hour"]
     rows = readings.withColumn("hour", F.floor(F.col("us") / F.lit(3_600_000_000)).cast("bigint"))
-    w = W.partitionBy(*hour).orderBy("us", "id")
-    share = (F.col("us") - F.lag("us").over(w)) / F.nullif(F.lead("us").over(w) - F.lag("us").over(w), F.lit(0))
-    off = F.col("value") - (F.lag("value").over(w) * (1 - share) + F.lead("value").over(w) * share)
+    w, hours = W.partitionBy(*hour).orderBy("us", "id"), W.partitionBy("source", "field").orderBy("hour")
+    whole = F.struct("us", "id", "value")
+    counts = rows.groupBy(*hour).agg(F.count("*").alias("_count"), F.min(whole).alias("_first"), F.max(whole).alias("_last"))
+    offsets = counts.select(*hour, F.sum("_count").over(hours.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.lag("_last").over(hours).alias("_from"), F.lead("_first").over(hours).alias("_to"))
+    rows = rows.select("*", (F.row_number().over(w) - 1).alias("_n"), *[f(c).over(w).alias(f"_{n}_{c}") for n, f in (("lag", F.lag), ("lead", F.lead)) for c in ("us", "value")])
+    r, o = rows.alias("r"), offsets.alias("o")
+    joined = r.join(o, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in hour])
+    beside = [F.coalesce(f"r._{n}_{c}", f"o.{e}.{c}").alias(f"_{n}_{c}") for n, e in (("lag", "_from"), ("lead", "_to")) for c in ("us", "value")]
+    joined = joined.select("r.source", "r.field", "r.us", "r.id", "r.value", (F.coalesce("o._before", F.lit(0)) + F.col("r._n")).alias("rank"), *beside)
+    share = (F.col("us") - F.col("_lag_us")) / F.nullif(F.col("_lead_us") - F.col("_lag_us"), F.lit(0))
+    off = F.col("value") - (F.col("_lag_value") * (1 - share) + F.col("_lead_value") * share)
     scale = F.sqrt(1 + share * share + (1 - share) * (1 - share))
-    rows = rows.select("*", (F.row_number().over(w) - 1).alias("_n"), F.abs(off / scale).alias("_off"))
     within = F.lit(False)
     for f, (low, high) in limits.items():
         within = within | ((F.col("field") == f) & F.col("value").between(low, high))
-    counts = rows.groupBy(*hour).agg(F.count("*").alias("_count"))
-    offsets = counts.select(*hour, (F.sum("_count").over(W.partitionBy("source", "field").orderBy("hour").rowsBetween(W.unboundedPreceding, -1))).alias("_before"))
-    scatter = rows.filter(within & F.col("_off").isNotNull()).groupBy("source", "field").agg((1.4826 * F.percentile_approx("_off", 0.5, 10_000)).alias("scatter"))
-    r, o, s = rows.alias("r"), offsets.alias("o"), scatter.alias("s")
-    joined = r.join(o, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in hour])
-    joined = joined.join(s, [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("source", "field")], "left")
-    return joined.select("r.source", "r.field", "r.us", "r.id", "r.value", (F.coalesce("o._before", F.lit(0)) + F.col("r._n")).alias("rank"), "s.scatter")
+    step = F.col("us") - F.col("_lag_us")
+    usual = joined.groupBy("source", "field").agg((1.4826 * F.percentile_approx(F.when(within, F.abs(off / scale)), 0.5, 10_000)).alias("scatter"), (F.percentile_approx(F.when(step > 0, step), 0.5, 10_000) / 1e6).alias("interval"))
+    j, s = joined.alias("j"), usual.alias("s")
+    out = j.join(s, [F.col(f"j.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("source", "field")], "left")
+    return out.select("j.source", "j.field", "j.us", "j.id", "j.value", "j.rank", "s.scatter", "s.interval")
 
 
 def implausible(usable: DataFrame, source: str, key: str, limits: dict[str, tuple[float, float]], rule: Judgement = Judgement()) -> DataFrame:
@@ -169,7 +183,7 @@ def implausible(usable: DataFrame, source: str, key: str, limits: dict[str, tupl
     rows = ranked(long_readings(usable, source, key, list(limits)), limits)
     own = F.floor(F.col("rank") / F.lit(rule.block)).cast("bigint")
     first, last = (F.greatest(F.lit(0), F.floor((F.col("rank") + d) / F.lit(rule.block))).cast("bigint") for d in (-rule.halo, rule.halo))
-    rows = rows.select("source", "field", F.explode(F.sequence(first, last)).alias("block"), own.alias("_own"), "us", "id", "value", "scatter")
+    rows = rows.select("source", "field", F.explode(F.sequence(first, last)).alias("block"), own.alias("_own"), "us", "id", "value", "scatter", "interval")
     group = ["source", "field", "block"]
     laid = laid_out(rows.withColumn("core", F.col("block") == F.col("_own")).drop("_own"), group, "us", "id")
     kind = laid.schema["id"].dataType.simpleString()
@@ -177,11 +191,11 @@ def implausible(usable: DataFrame, source: str, key: str, limits: dict[str, tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, group):
             us, value, core = (t.column(c).to_numpy(zero_copy_only=False) for c in ("us", "value", "core"))
-            scatter, field = t.column("scatter").to_numpy(zero_copy_only=False), t.column("field")
+            scatter, interval, field = t.column("scatter").to_numpy(zero_copy_only=False), t.column("interval").to_numpy(zero_copy_only=False), t.column("field")
             hit = np.zeros(t.num_rows, bool)
             for a, z in zip(starts, [*starts[1:], t.num_rows], strict=True):
                 low, high = limits[field[int(a)].as_py()]
-                hit[a:z] = judge(us[a:z] / 1e6, value[a:z], float(np.nan_to_num(scatter[a], nan=0.0)), low, high, rule)
+                hit[a:z] = judge(us[a:z] / 1e6, value[a:z], float(np.nan_to_num(scatter[a], nan=0.0)), low, high, rule, float(np.nan_to_num(interval[a], nan=0.0)))
             take = pa.array(np.flatnonzero(hit & core))
             yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(take), field.combine_chunks().take(take)], ["id", "field_name"])
 

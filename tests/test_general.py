@@ -192,6 +192,37 @@ def test_spikes_steps_and_stuck_values():
     assert spikes.judge(np.array([0.0]), np.array([0.0]), 0.0, 5000, 9500).tolist() == [True]
 
 
+def slow_course(step, swing, seed=0):
+    g = np.random.default_rng(seed)
+    t = np.cumsum(g.uniform(0.85 * step, 1.18 * step, 600))
+    return t, np.round(7000 + swing * np.sin(t / 890) + g.normal(0, 20, len(t)))
+
+
+def test_spikes_of_slow_sources(spark):
+    rows, want = [], set()
+    for name, step, swing, size in (("a", 250, 200, 300), ("b", 600, 200, 800), ("c", 1500, 0, 300), ("d", 4000, 0, 300)):  # d has a reading an hour at most
+        t, y = slow_course(step, swing)
+        for k in range(50, 600, 50):
+            y[k] += size
+            want.add(len(rows) + k)
+        rows += [(name, int(at * 1e6), len(rows) + k, float(v)) for k, (at, v) in enumerate(zip(t, y))]
+        t, y = slow_course(step, swing, 1)  # orbit swings are no cases
+        rows += [(name + "0", int(at * 1e6), len(rows) + k, float(v)) for k, (at, v) in enumerate(zip(t, y))]
+    df = spark.createDataFrame(rows, "s string, event_us bigint, id bigint, v double")
+    for block in (128, 4096):
+        out = spikes.implausible(df, "s", "id", {"v": (0, 20_000)}, spikes.Judgement(block=block))
+        assert {r.id for r in out.collect()} == want
+    readings = df.selectExpr("s AS source", "'v' AS field", "event_us AS us", "id", "v AS value")
+    usual = spikes.ranked(readings, {"v": (0, 20_000)}).select("source", "scatter", "interval").distinct().collect()
+    assert len(usual) == 8
+    for r in usual:
+        t, y = (np.array([row[k] for row in rows if row[0] == r.source]) for k in (1, 3))
+        share = (t[1:-1] - t[:-2]) / (t[2:] - t[:-2])
+        off = np.abs(y[1:-1] - y[:-2] * (1 - share) - y[2:] * share) / np.sqrt(1 + share**2 + (1 - share) ** 2)
+        assert r.scatter == pytest.approx(1.4826 * np.median(off), rel=0.02)
+        assert r.interval == pytest.approx(np.median(np.diff(t)) / 1e6, rel=0.01)
+
+
 def test_blocks_don_t_change_spikes(spark):
     rows = []
     for name, seed in (("a", 1), (None, 2)):
