@@ -162,7 +162,7 @@ def vocabulary(folder: str = DEFAULT_FOLDER, name: str = DEFAULT_NAME) -> str:
     return str(Path(folder) / f"{name}.tiktoken")
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str | None = None, long_chars: int = 65_536, piece_chars: int = 16_384) -> DataFrame:
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str | None = None, long_chars: int = 8_192, piece_chars: int = 2_048) -> DataFrame:
     """(key, ids array<int>), one row a row of ``df``."""
     path = path or vocabulary()
     if not 0 < piece_chars <= long_chars:

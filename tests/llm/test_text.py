@@ -50,6 +50,18 @@ def test_encode_rows(spark, tok):
     assert encode.encode(df.limit(0)).count() == 0
 
 
+def test_very_long_documents_reach_the_tree(spark, tok, monkeypatch):
+    text = "word " * 4000 + "x" * 10_000 + " end" * 300  # as long as those of the supplied documents
+    seen = []
+    original = encode.laid_out
+    monkeypatch.setattr(encode, "laid_out", lambda df, *a: original(seen.append(df) or df, *a))
+    df = spark.createDataFrame([(1, text), (2, "a b")], "doc_id bigint, text string")
+    got = {r.doc_id: list(r.ids) for r in encode.encode(df).collect()}
+    assert got == {1: tok.encode(text), 2: tok.encode("a b")}
+    pieces = seen[0].collect()  # those of the one long text
+    assert len(pieces) > 8 and {r.k for r in pieces} == {1} and any(r.hard for r in pieces)
+
+
 def brute_mix(rows, goals, key):
     out = {}
     for s, (epochs, rest) in goals.items():
