@@ -9,7 +9,8 @@ Structured tokens point the other way, so logs, plans and tables are outliers of
 follows: links, link labels, tags and words amid repeated keywords must make up the text, and structure must not.
 
 Language comes from script and function words, not from the declared one, which may be wrong; texts that show none
-are held against the statistics of all texts. Languages with fewer than ``least`` texts are too.
+are held against the statistics of all texts. Those of each language are drawn towards these as if ``prior`` more
+texts had them, so a rare language has statistics of its own in proportion to its count and no size switches them.
 
 Statistics are aggregates over all documents (percentile sketches and sums, combined on the map side). The driver
 sees one row of them a language, of which there are six.
@@ -76,7 +77,7 @@ class Rule:
     local_structured: float = 0.12
     repeats: int = 3
     near: int = 24
-    least: int = 200
+    prior: int = 50
 
 
 def _chain(value: str) -> list[str] | None:
@@ -232,26 +233,30 @@ def statistics(found: DataFrame, rule: Rule = Rule()) -> dict[str, tuple[np.ndar
     """{language: (median, scale, whitening matrix)}; "all" is over every text. At most six rows come to the driver."""
     each = found.withColumn("g", F.explode(F.array_distinct(F.array("lang", F.lit("all")))))
     mid = each.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES]).collect()
-    centre = {r["g"]: np.array([r[f] for f in FEATURES]) for r in mid if r["n"] >= rule.least or r["g"] == "all"}
-    if not centre:
+    own = {r["g"]: np.array([r[f] for f in FEATURES]) for r in mid}
+    if not own:
         return {}
-    each = each.filter(F.col("g").isin(list(centre)))
-    away = [F.abs(F.col(f) - _by_language({g: float(c[j]) for g, c in centre.items()})) for j, f in enumerate(FEATURES)]
+    weight = {r["g"]: 1.0 if r["g"] == "all" else r["n"] / (r["n"] + rule.prior) for r in mid}
+    drawn = lambda values: {g: weight[g] * v + (1 - weight[g]) * values["all"] for g, v in values.items()}
+    centre = drawn(own)
+    away = [F.abs(F.col(f) - _by_language({g: float(c[j]) for g, c in own.items()})) for j, f in enumerate(FEATURES)]
     spread = each.groupBy("g").agg(*[F.percentile_approx(a, 0.5, 2000).alias(f) for a, f in zip(away, FEATURES, strict=True)]).collect()
-    scale = {r["g"]: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), FLOOR) for r in spread}
+    scale = drawn({r["g"]: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), FLOOR) for r in spread})
     z = [F.least(F.lit(2.5), F.greatest(F.lit(-2.5), (F.col(f) - _by_language({g: float(c[j]) for g, c in centre.items()})) / _by_language({g: float(s[j]) for g, s in scale.items()}))) for j, f in enumerate(FEATURES)]
     k = len(FEATURES)
     sums = each.groupBy("g").agg(*[F.avg(z[i] * z[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)], *[F.avg(z[i]).alias(f"a{i}") for i in range(k)]).collect()
-    out = {}
+    correlations = {}
     for r in sums:
         mean = np.array([r[f"a{i}"] for i in range(k)])
         cov = np.array([[r[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
         # correlations shrunk by a third, so that no direction is lost and the matrix is well conditioned
-        correlation = (2 * cov / np.outer(sd, sd) + np.eye(k)) / 3
-        np.fill_diagonal(correlation, 1.0)
+        correlations[r["g"]] = (2 * cov / np.outer(sd, sd) + np.eye(k)) / 3
+        np.fill_diagonal(correlations[r["g"]], 1.0)
+    out = {}
+    for g, correlation in drawn(correlations).items():
         value, vector = np.linalg.eigh(correlation)
-        out[r["g"]] = (centre[r["g"]], scale[r["g"]], vector @ np.diag(np.maximum(value, 0.1) ** -0.5) @ vector.T)
+        out[g] = (centre[g], scale[g], vector @ np.diag(np.maximum(value, 0.1) ** -0.5) @ vector.T)
     return out
 
 

@@ -152,3 +152,17 @@ def test_pages_joined_by_dots(spark):
     df = spark.createDataFrame([*spam_pages.items(), *fine.items(), *normal], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in spam.suspects(df).filter("spam").collect()) == list(spam_pages)
     assert spam._tokens("p4n!l...4d4pter...pr!!mp...10:30...sal!...sdr") == (["p4n!l", "4d4pter", "pr!!mp", "10:30", "sal!", "sdr"], ["w", "w", "w", "s", "w", "w"])
+
+
+def test_statistics_of_rare_languages(spark):
+    g = random.Random(4)
+    rows = [("en", *[0.4 + 0.1 * g.random() for _ in spam.FEATURES]) for _ in range(2000)] + [("de", *[0.2 + 0.02 * g.random() for _ in spam.FEATURES]) for _ in range(220)]
+    schema = "lang string, " + ", ".join(f"{f} double" for f in spam.FEATURES)
+    centres = []
+    for n in (1, 30, 199, 200, 220):
+        stats = spam.statistics(spark.createDataFrame(rows[: 2000 + n], schema))
+        assert set(stats) == {"all", "en", "de"}
+        centres.append(stats["de"][0][0])
+        whole, prior = stats["all"][0][0], spam.Rule().prior
+        assert stats["de"][0][0] == pytest.approx((n * 0.21 + prior * whole) / (n + prior), abs=0.01)
+    assert centres == sorted(centres, reverse=True) and centres[2] - centres[3] < 0.001  # no switch by size
