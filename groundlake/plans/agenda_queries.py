@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ PLAN = agenda.PassPlan(
     priority_commands=["CTS1+set_mode(2)@tsexec=1767600000000!", "reboot()"], block_ms=60_000, command_ms=2_000, priority_every=50, satellite="CTS1",
 )
 KEYS = ["ground_station"]
+#: the whole job: the operator's own block interval, and timelines that combine the stations of an observer
+WHOLE_PLAN = replace(PLAN, block_ms=agenda.PassPlan.block_ms)
+WHOLE_KEYS = ["observer"]
 
 
 def _passes(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +27,11 @@ def _passes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("ground_station_id").alias("ground_station"), F.col("observation_id").alias("id"), F.unix_millis(F.col("start_utc").cast("timestamp")).alias("start_ms"), F.unix_millis(F.col("end_utc").cast("timestamp")).alias("end_ms"))
 
 
+def _observer_passes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "obs_interval").filter("observer IS NOT NULL AND ground_station_id IS NOT NULL AND start_utc IS NOT NULL AND end_utc IS NOT NULL")
+    return rows.select("observer", F.col("observation_id").alias("id"), F.unix_millis(F.col("start_utc").cast("timestamp")).alias("start_ms"), F.unix_millis(F.col("end_utc").cast("timestamp")).alias("end_ms"))
+
+
 def _commands(spark: SparkSession, folder: str) -> DataFrame:
     return agenda.loop_commands(agenda.active_ticks(agenda.upcoming(_passes(spark, folder), KEYS, PLAN), KEYS, PLAN.block_ms), KEYS, PLAN)
 
@@ -47,6 +58,24 @@ def pass_agenda(spark: SparkSession, folder: str) -> DataFrame:
     return out.groupBy("ground_station", "phase").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").startswith("#")).alias("n_remarks"), F.sum(F.length("line")).alias("n_chars"))
 
 
+def pass_ticks_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return agenda.active_ticks(agenda.upcoming(_observer_passes(spark, folder), WHOLE_KEYS, WHOLE_PLAN), WHOLE_KEYS, WHOLE_PLAN.block_ms)
+
+
+def pass_commands_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return agenda.loop_commands(pass_ticks_whole(spark, folder), WHOLE_KEYS, WHOLE_PLAN).select("observer", "n", "line")
+
+
+def pass_remarks_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return agenda.pass_events(agenda.upcoming(_observer_passes(spark, folder), WHOLE_KEYS, WHOLE_PLAN), WHOLE_KEYS).select("observer", F.col("ordinal").cast("bigint").alias("ordinal"), "line")
+
+
+def pass_agenda_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """As pass_agenda, by observer and phase."""
+    out = agenda.checked(agenda.pass_agenda(_observer_passes(spark, folder), WHOLE_KEYS, WHOLE_PLAN))
+    return out.groupBy("observer", "phase").agg(F.count("*").alias("n_lines"), F.count_if(F.col("line").startswith("#")).alias("n_remarks"), F.sum(F.length("line")).alias("n_chars"))
+
+
 def readable_commands(spark: SparkSession, folder: str) -> DataFrame:
     return _commands(spark, folder).select("ground_station", "n", commands.readable(F.col("line")).alias("line"))
 
@@ -94,11 +123,19 @@ def file_uplink_base64(spark: SparkSession, folder: str) -> DataFrame:
     return agenda.file_uplink(_files(spark, folder), ["doc_id"], "content", "target", hash_count=3, tssent_start_ms=1_767_571_200_000).filter("phase < 6")
 
 
+def file_uplink_hex_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return agenda.file_uplink(_files(spark, folder), ["doc_id"], "content", "target", mode="bulk_uplink_hex", tssent_start_ms=1_767_571_200_000, tsexec_start_ms=1_767_574_800_000).filter("phase < 6")
+
+
+def file_uplink_base64_whole(spark: SparkSession, folder: str) -> DataFrame:
+    return agenda.file_uplink(_files(spark, folder), ["doc_id"], "content", "target", tssent_start_ms=1_767_571_200_000).filter("phase < 6")
+
+
 def file_checksums(spark: SparkSession, folder: str) -> DataFrame:
     return agenda.file_uplink(_files(spark, folder), ["doc_id"], "content", "target", mode="write_file_hex", hash_count=0).filter("phase = 6").select("doc_id", "line")
 
 
-QUERIES = {f.__name__: f for f in (pass_ticks, pass_commands, pass_priorities, pass_remarks, pass_agenda, readable_commands, interval_steps, repeated_rows, sheet_values, scattered_commands, file_chunks, file_uplink_hex, file_uplink_base64, file_checksums)}
+QUERIES = {f.__name__: f for f in (pass_ticks, pass_commands, pass_priorities, pass_remarks, pass_agenda, readable_commands, interval_steps, repeated_rows, sheet_values, scattered_commands, file_chunks, file_uplink_hex, file_uplink_base64, file_checksums, pass_ticks_whole, pass_commands_whole, pass_remarks_whole, pass_agenda_whole, file_uplink_hex_whole, file_uplink_base64_whole)}
 
 _START, _END = PLAN.uplink_start_ms, PLAN.uplink_end_ms
 _stamp = lambda ms: f"strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H:%M:%SZ')"
@@ -152,3 +189,13 @@ ORACLE = {
     "file_uplink_base64": _uplink("'CTS1+bulkup64(' || to_base64(unhex(data_hex)) || ')'", False),
     "file_checksums": f"WITH {_FILES} SELECT doc_id, '# SHA256 of input file: ' || sha256(content) || ' (' || format('{{:,}}', n) || ' bytes)' AS line FROM files",
 }
+
+
+def _whole_passes(sql: str) -> str:
+    """The SQL of a pass query for the whole job."""
+    sql = sql.replace("WHERE ground_station_id IS NOT NULL", "WHERE STATION IS NOT NULL AND observer IS NOT NULL").replace("ground_station_id AS ground_station", "observer")
+    return re.sub(rf"\b{PLAN.block_ms}\b", str(WHOLE_PLAN.block_ms), sql.replace("ground_station", "observer").replace("STATION", "ground_station_id"))
+
+
+ORACLE |= {f"{q}_whole": _whole_passes(ORACLE[q]) for q in ("pass_ticks", "pass_commands", "pass_remarks", "pass_agenda")}
+ORACLE |= {f"{q}_whole": ORACLE[q].replace("range(0, 3)", "range(0, 30)") for q in ("file_uplink_hex", "file_uplink_base64")}

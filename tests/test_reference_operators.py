@@ -82,3 +82,21 @@ def test_pages():
     found = list(observations.pages("u", {"a": "1", "b": ""}, fetch=lambda at, token, timeout: served[at]))
     assert [p[0]["id"] for p in found] == [1, 2] and observations.row(found[1][0])[4] == 1.0
     assert observations.next_link('<http://x?c=2>; rel="next", <http://x>; rel="prev"') == "http://x?c=2"
+
+
+def test_whole_agendas_combine_stations(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from groundlake.plans import agenda_queries
+
+    t = lambda m: datetime(2026, 1, 6) + timedelta(minutes=m)
+    rows = [(1, "s1", "o", t(0), t(2)), (2, "s2", "o", t(1), t(3)), (3, "s3", "p", t(1), t(2)), (4, None, "o", t(1), t(9))]
+    spark.createDataFrame(rows, "observation_id bigint, ground_station_id string, observer string, start_utc timestamp, end_utc timestamp").write.parquet(str(tmp_path / "obs_interval.parquet"))
+    spark.createDataFrame([(1, "x" * 100)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    query = lambda name: agenda_queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted((r.observer, r.tick) for r in query("pass_ticks_whole")) == [("o", k) for k in range(9)] + [("p", k) for k in range(3)]
+    assert [r.line.rsplit(" | ", 1)[1][0] for r in sorted(query("pass_remarks_whole")) if r.observer == "o"] == ["1", "2", "1", "0"]
+    assert len(query("pass_commands_whole")) == 36
+    assert {(r.observer, r.phase): r.n_lines for r in query("pass_agenda_whole")} == {("o", 0): 2, ("o", 1): 31, ("p", 0): 2, ("p", 1): 11}
+    for name in ("file_uplink_hex_whole", "file_uplink_base64_whole"):
+        assert sum(r.phase == 5 for r in query(name)) == 30
