@@ -86,9 +86,8 @@ def last_beacon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decoded_by_receipt(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole decoded table in canonical column order, latest first; counted by type for the comparison."""
-    out = decode.by_receipt(_decoded(spark, folder))
-    return out.groupBy("packet_type").agg(F.count("*").alias("n"), F.count("general_message").alias("n_messages"), F.count("satellite_name").alias("n_beacons"), F.count("observation_id").alias("n_observed"))
+    """The whole decoded table in canonical column order, latest first."""
+    return decode.by_receipt(_decoded(spark, folder))
 
 
 QUERIES = {f.__name__: f for f in (packet_type_summary, beacon_basic, beacon_extended, beacon_native, telecommand_replies, log_messages, bulk_downlinks, general_messages, partial_packets, csp_headers, crc_summary, hex_packets, last_beacon, decoded_by_receipt)}

@@ -100,3 +100,17 @@ def test_whole_agendas_combine_stations(spark, tmp_path):
     assert {(r.observer, r.phase): r.n_lines for r in query("pass_agenda_whole")} == {("o", 0): 2, ("o", 1): 31, ("p", 0): 2, ("p", 1): 11}
     for name in ("file_uplink_hex_whole", "file_uplink_base64_whole"):
         assert sum(r.phase == 5 for r in query(name)) == 30
+
+
+def test_decoded_by_receipt_returns_the_rows(spark):
+    from groundlake.plans import decoding
+
+    folder = "/root/testdata/sf0.001"
+    packets = spark.read.parquet(f"{folder}/packet.parquet").filter("rs_errs >= 0")
+    df = decoding.decoded_by_receipt(spark, folder)
+    assert df.schema == decoding._decoded(spark, folder).schema  # whole u64 numbers too
+    got = df.select("packet_id", "received_timestamp").collect()
+    assert sorted(r.packet_id for r in got) == sorted(r.packet_id for r in packets.select("packet_id").collect())
+    times = [r.received_timestamp for r in got]
+    nulls = sum(t is None for t in times)
+    assert all(t is None for t in times[:nulls]) and times[nulls:] == sorted(times[nulls:], reverse=True)
