@@ -20,25 +20,35 @@ def decoded_stream(packets: DataFrame) -> DataFrame:
 
 
 def interval_stream(intervals: DataFrame, entity: str, start: str, end: str, keep_us: int = 30 * 86_400_000_000) -> DataFrame:
-    """(entity, gap_start, gap_end) of each entity that got intervals, after every batch.
+    """(entity, gap_start, gap_end, late) of each entity that got intervals, after every batch.
 
     State: the entity's ordered disjoint periods. Periods that ended more than ``keep_us`` before the latest one are
-    given up (an interval that late starts a period of its own), which bounds the state of an entity.
+    given up but for the last of them, which bounds the state of an entity. An interval that starts before the kept
+    ones, after others were given up, may overlap one of these: it is not merged but comes out as it is, with
+    ``late`` true and its start and end, for a sink of its own; the gaps around it follow from the batch operator.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = IntervalMap(*(list(x) for x in state.get)) if state.exists else IntervalMap()
+        starts, ends, given_up = state.get if state.exists else ([], [], False)
+        own = IntervalMap(list(starts), list(ends))
+        least = own.starts[0] if given_up else None
+        late: list[tuple[int, int]] = []
         for frame in frames:
             for lo, hi in zip(frame["lo"].tolist(), frame["hi"].tolist(), strict=True):
-                own.insert(lo, hi)
+                if least is not None and lo < least:
+                    late.append((lo, hi))
+                else:
+                    own.insert(lo, hi)
         old = sum(e < own.ends[-1] - keep_us for e in own.ends) if own.ends else 0
-        state.update((own.starts[old:], own.ends[old:]))
+        old = max(0, old - 1)
         gaps = list(own.gaps())
-        if gaps:
-            yield pd.DataFrame({"entity": key[0], "gap_start": [g[0] for g in gaps], "gap_end": [g[1] for g in gaps]})
+        state.update((own.starts[old:], own.ends[old:], bool(given_up or old)))
+        rows = [(*g, False) for g in gaps] + [(*x, True) for x in late]
+        if rows:
+            yield pd.DataFrame({"entity": key[0], "gap_start": [r[0] for r in rows], "gap_end": [r[1] for r in rows], "late": [r[2] for r in rows]})
 
     rows = valid_intervals(intervals, entity, start, end)
-    return rows.groupBy("entity").applyInPandasWithState(update, "entity string, gap_start bigint, gap_end bigint", "starts array<bigint>, ends array<bigint>", "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("entity").applyInPandasWithState(update, "entity string, gap_start bigint, gap_end bigint, late boolean", "starts array<bigint>, ends array<bigint>, given_up boolean", "update", GroupStateTimeout.NoTimeout)
 
 
 def archive_sink(archive: MessageArchive):

@@ -24,3 +24,17 @@ def test_latest_beacons(spark):
     b = streams.latest_beacons(a)
     again = streams.latest_beacons(a.filter("false"), b)
     assert sorted((r.satellite_name, r.v) for r in again.collect()) == [("x", "q"), ("y", "r")]
+
+
+def test_intervals_before_given_up_periods_come_out_late(spark, tmp_path):
+    t = lambda m: datetime(2026, 1, 5) + timedelta(minutes=m)
+    schema, source = "g string, s timestamp, e timestamp", str(tmp_path / "in")
+    spark.createDataFrame([("a", t(0), t(10)), ("a", t(30), t(40)), ("a", t(200), t(210)), ("a", t(400), t(410))], schema).coalesce(1).write.parquet(source)
+    out = streams.interval_stream(spark.readStream.schema(schema).parquet(source), "g", "s", "e", keep_us=60 * 60_000_000)
+    base = int((datetime(2026, 1, 5) - datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    for wanted in ([(10, 30, False), (40, 200, False), (210, 400, False)], [(5, 35, True), (210, 300, False), (310, 400, False)]):
+        found = []
+        query = out.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).foreachBatch(lambda b, _: found.extend(b.collect()))  # noqa: B023
+        query.start().awaitTermination(60)
+        assert sorted(((r.gap_start - base) // 60_000_000, (r.gap_end - base) // 60_000_000, r.late) for r in found) == wanted
+        spark.createDataFrame([("a", t(5), t(35)), ("a", t(300), t(310))], schema).coalesce(1).write.mode("append").parquet(source)
