@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,11 +58,43 @@ def test_only_touched_partitions_are_replaced(spark):
     archive = MessageArchive(spark, new_folder(spark, "t"))
     archive.merge(spark.createDataFrame([(b"a" * 16, k * day + 5, k) for k in range(4)], SCHEMA))
     assert archive.merge(spark.createDataFrame([(b"a" * 16, 2 * day + 9, 9)], SCHEMA)) == [2]
-    assert archive.manifest()["parts"] == {"0": 1, "1": 1, "2": 2, "3": 1}
+    assert {p: int(v.split("-")[0]) for p, v in archive.manifest()["parts"].items()} == {"0": 1, "1": 1, "2": 2, "3": 1}
+    assert archive.manifest()["rows"] == {"0": 1, "1": 1, "2": 2, "3": 1}
     assert archive.merge(spark.createDataFrame([], SCHEMA)) == []
     assert marked(archive.copies()) == [(b"a" * 16, 2 * day + 9, 9)]
 
 
+def test_a_losing_writer_changes_nothing(spark):
+    root, day = new_folder(spark, "t"), 86_400_000_000
+    first, second = MessageArchive(spark, root), MessageArchive(spark, root)
+    first.merge(spark.createDataFrame([(b"a" * 16, 5, 1)], SCHEMA))
+    original = second._commit
+
+    def late_commit(manifest):  # another writer commits while this one is at work
+        first.merge(spark.createDataFrame([(b"b" * 16, 6, 2)], SCHEMA))
+        original(manifest)
+
+    second._commit = late_commit
+    with pytest.raises(RuntimeError, match="another writer"):
+        second.merge(spark.createDataFrame([(b"c" * 16, 7, 3)], SCHEMA))
+    assert sorted(r.row_id for r in first.copies().collect()) == [1, 2]
+    second._commit = original
+    second.merge(spark.createDataFrame([(b"c" * 16, 7, 3), (b"a" * 16, day, 4)], SCHEMA))
+    assert sorted(r.row_id for r in first.copies().collect()) == [1, 2, 3, 4]
+    assert first.vacuum(keep=1) and sorted(r.row_id for r in first.copies().collect()) == [1, 2, 3, 4]
+    assert first._names("incoming") == [] and len(first._names("manifest")) == 1 and len(first._names("data")) == 1
+
+
+def test_islands_are_followed_over_periods(spark):
+    step, day = 500_000_000, 86_400_000_000
+    rows = [(b"h" * 16, 3 * day - 400 * step + k * step, k) for k in range(800)]  # one chain over five days
+    archive = MessageArchive(spark, new_folder(spark, "t"))
+    archive.merge(spark.createDataFrame(rows, SCHEMA))
+    early = [(b"h" * 16, rows[0][1] - 400_000_000, -1)]  # shifts every anchor behind it
+    assert len(archive.merge(spark.createDataFrame(early, SCHEMA))) == len({t // day for _, t, _ in rows})
+    assert marked(archive.copies()) == brute(rows + early)
+
+
 def test_packets_with_nulls_trailers_and_ties(spark):
     from datetime import datetime
 
