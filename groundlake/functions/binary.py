@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 SIZES = {"B": (1, False), "b": (1, True), "H": (2, False), "h": (2, True), "I": (4, False), "i": (4, True), "Q": (8, False)}
 
 
-def number(data: Column, offset: int, code: str) -> Column:
-    """The number at ``offset`` as a native expression: decimal(20,0) for Q, bigint for I, int for others."""
+def number(name: str, offset: int, code: str) -> Column:
+    """The number at ``offset`` of a binary column as one native expression: decimal(20,0) for Q, bigint for I, int for others."""
     size, signed = SIZES[code]
-    digits = F.concat(*[F.hex(F.substring(data, offset + k + 1, 1)) for k in reversed(range(size))])
-    wide = F.conv(digits, 16, 10)
+    wide = "conv(concat(" + ", ".join(f"hex(substring(`{name}`, {offset + k + 1}, 1))" for k in reversed(range(size))) + "), 16, 10)"
     if code == "Q":
-        return wide.cast("decimal(20,0)")
-    value = wide.cast("bigint")
+        return F.expr(f"CAST({wide} AS decimal(20,0))")
+    value = f"CAST({wide} AS bigint)"
     if signed:
-        value = value - F.when(value >= 1 << (8 * size - 1), F.lit(1 << (8 * size))).otherwise(F.lit(0))
-    return value if code == "I" else value.cast("int")
+        half = 1 << (8 * size - 1)
+        value = f"(pmod({value} + {half}L, {2 * half}L) - {half}L)"
+    return F.expr(value if code == "I" else f"CAST({value} AS int)")
 
 
 def padded(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:

@@ -4,13 +4,13 @@ A packet that is null or empty is undecodable: all decoded columns are null, the
 gives packet_type UNKNOWN; a known type that is too short gives its name and no more. A checksum failure only
 clears ``csp_crc_valid``; a trailer is not taken off the data. Columns of other packet types are null.
 
-Two generators share one layout. "native" expressions let the optimiser prune fields a query doesn't read; "arrow"
-reads all numbers of a batch with NumPy and serves wide queries. Neither shuffles.
+Two generators share one layout: "native" expressions, and "arrow", which reads the numbers of a batch with NumPy and
+serves wide queries. A query names the columns it wants, and nothing else is built or read. Neither shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +22,6 @@ from groundlake.functions import binary as B
 from groundlake.functions.crc import _buffers, _valid, trailer_valid
 from groundlake.functions.csp import header_hex, header_u32
 
-_NUMBERS = [(o, c, f"_b{o}") for o, c, *_ in L.BASIC_FIELDS] + [(o, c, f"_b{o}") for o, c, *_ in L.EXTENDED_FIELDS]
-_NUMBERS += [(1, "Q", "_t1"), (9, "B", "_t9"), (10, "H", "_t10"), (12, "B", "_t12"), (13, "B", "_t13"), (1, "I", "_k1"), (164, "I", "_s164"), (168, "H", "_s168")]
 _TYPES = {"Q": "decimal(20,0)", "I": "bigint"}
 _ARROW_TYPES = {"Q": pa.decimal128(20, 0), "I": pa.int64()}
 _WIDTH = L.LEAST_BYTES["BEACON_EXTENDED"]
@@ -55,7 +53,7 @@ def observation_id(session_dir: Column) -> Column:
 
 
 def _map(name: str) -> Column:
-    return F.create_map(*[F.lit(x) for kv in L.CODES[name].items() for x in kv])
+    return F.expr("map(" + ", ".join(f"{k}, '{v}'" for k, v in L.CODES[name].items()) + ")")
 
 
 def named(name: str, code: Column, numbered: bool = False) -> Column:
@@ -64,23 +62,22 @@ def named(name: str, code: Column, numbered: bool = False) -> Column:
     return F.concat(code.cast("string"), F.lit(" - "), label) if numbered else label
 
 
-def packet_kind(payload: Column) -> Column:
+def packet_kind(payload: str = "payload") -> Column:
     """Name of the type byte; UNKNOWN for others, null for a null or empty payload."""
     code = B.number(payload, 0, "B")
     return F.when(F.length(payload) > 0, F.coalesce(F.try_element_at(_map("PACKET_TYPE"), code), F.lit("UNKNOWN")))
 
 
-def complete(kind: Column, payload: Column) -> Column:
+def complete(kind: Column, payload: str = "payload") -> Column:
     """Is the payload long enough for its type?"""
-    out = F.lit(False)
-    for name, least in L.LEAST_BYTES.items():
-        out = out | ((kind == name) & (F.length(payload) >= least))
-    return out
+    least = F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in L.LEAST_BYTES.items()) + ")")
+    return F.coalesce(F.length(payload) >= F.try_element_at(least, kind), F.lit(False))
 
 
-def with_numbers(df: DataFrame) -> DataFrame:
-    """Adds the raw numbers of all layouts, read with NumPy."""
+def with_numbers(df: DataFrame, wanted: list[tuple[int, str]]) -> DataFrame:
+    """Adds ``_{code}{offset}`` for each wanted (offset, code), read with NumPy."""
     fields = [(f.name, f.dataType.simpleString()) for f in df.schema]
+    names = [f"_{c}{o}" for o, c in wanted]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,13 +85,10 @@ def with_numbers(df: DataFrame) -> DataFrame:
             data, off = _buffers(payload)
             length = np.where(_valid(payload), off[1:] - off[:-1], 0)
             rows = B.padded(data, off[:-1], length, _WIDTH)
-            made = []
-            for o, c, _ in _NUMBERS:
-                x = pa.array(B.numbers(rows, o, c))
-                made.append(x.cast(_ARROW_TYPES.get(c, pa.int32())) if c != "Q" else x.cast(pa.decimal128(20, 0)))
-            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *[n for *_, n in _NUMBERS]])
+            made = [pa.array(B.numbers(rows, o, c)).cast(_ARROW_TYPES.get(c, pa.int32())) for o, c in wanted]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *names])
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in fields] + [f"`{n}` {_TYPES.get(c, 'int')}" for _, c, n in _NUMBERS])
+    schema = ", ".join([f"`{n}` {t}" for n, t in fields] + [f"`{n}` {_TYPES.get(c, 'int')}" for (_, c), n in zip(wanted, names, strict=True)])
     return df.mapInArrow(run, schema)
 
 
@@ -133,56 +127,85 @@ def _json(names: dict[int, str], bit) -> Column:
     return F.concat(F.lit("["), F.array_join(present, ", "), F.lit("]"))
 
 
-def decode(df: DataFrame, engine: str = "arrow") -> DataFrame:
-    """All decoded columns behind those of ``df`` (which must have payload, csp_header_hex and csp_crc_valid)."""
+def _formulas(raw: Callable[[int, str], Column]) -> dict[str, tuple[tuple[str, ...], Callable[[], Column]]]:
+    """{column: (types of complete packets that have it, how to make it)}; nothing is made before it is asked for."""
+    basic, extended = ("BEACON_BASIC", "BEACON_EXTENDED"), ("BEACON_EXTENDED",)
+    reply, log, bulk, peripheral = ("TCMD_RESPONSE",), ("LOG_MESSAGE",), ("BULK_FILE_DOWNLINK",), ("BEACON_PERIPHERAL",)
+    part = lambda place: F.substring("payload", *_at(place))
+    data = lambda: part((5, L.BULK_DATA))
+    out: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {"satellite_name": (basic, lambda: B.ascii_text(part(L.NAME_AT)))}
+
+    def listed(fields: tuple, types: tuple[str, ...]) -> None:
+        for o, c, name, meaning, argument in fields:
+            out[name] = (types, lambda o=o, c=c, m=meaning, a=argument: _shown(raw(o, c), m, a))
+            if name == "uptime_ms":
+                out["uptime_sec"] = (types, lambda o=o, c=c: F.round(raw(o, c) / 1000.0, 3))
+            if name == "unix_epoch_time_ms":
+                out["utc_time"] = (types, lambda o=o, c=c: utc_text(raw(o, c)))
+
+    listed(L.BASIC_FIELDS[1:], basic)
+    out["friendly_message"] = (basic, lambda: B.until_nul(B.utf8(part(L.MESSAGE_AT))))
+    out["end_version_number"] = (extended, lambda: B.until_nul(B.utf8(part(L.END_AT))))
+    listed(L.EXTENDED_FIELDS, extended)
+    bits = lambda low, n: F.shiftright(raw(164, "I") + raw(168, "H").cast("bigint") * (1 << 32), low).bitwiseAND((1 << n) - 1)
+    for name, codes, low, n in (("adcs_attitude_estimation_mode", "ADCS_ESTIM_MODE", 0, 4), ("adcs_control_mode", "ADCS_CONTROL_MODE", 4, 4), ("adcs_run_mode", "ADCS_RUN_MODE", 8, 2), ("adcs_asgp4_mode", "ADCS_ASGP4_MODE", 10, 2)):
+        out[name] = (extended, lambda codes=codes, low=low, n=n: named(codes, bits(low, n), numbered=True))
+    out["adcs_sun_above_local_horizon"] = (extended, lambda: bits(23, 1) == 1)
+    for name, names in L.STATE_BITS.items():
+        out[name] = (extended, lambda names=names: _json(names, lambda b: bits(b, 1) == 1))
+    return out | {
+        "raw_payload_hex": (peripheral, lambda: B.lower_hex(F.col("payload"))), "_note": (peripheral, lambda: F.lit(L.PERIPHERAL_NOTE)),
+        "tcmd_ts_sent": (reply, lambda: raw(1, "Q")), "tcmd_response_code": (reply, lambda: raw(9, "B")), "tcmd_duration_ms": (reply, lambda: raw(10, "H")),
+        "tcmd_response_seq_num": (reply, lambda: raw(12, "B")), "tcmd_response_max_seq_num": (reply, lambda: raw(13, "B")),
+        "tcmd_response_text": (reply, lambda: B.until_nul(B.utf8(part((14, L.TCMD_DATA))))),
+        "log_message": (log, lambda: B.until_last_newline(B.utf8(part((1, L.LOG_DATA))))),
+        "bulk_file_offset": (bulk, lambda: raw(1, "I")), "bulk_data_len": (bulk, lambda: F.length(data())), "bulk_data_hex": (bulk, lambda: B.lower_hex(data())),
+        "_bulk_text": (bulk, lambda: bulk_text(data())),
+    }
+
+
+def decoded_columns() -> list[str]:
+    """All decoded columns in canonical order."""
+    known = [n for n in _formulas(lambda *_: None) if n != "_bulk_text"]
+    return ordered([*START, *known, "csp_header_hex", "csp_crc_valid"])
+
+
+def decode(df: DataFrame, engine: str = "arrow", columns: list[str] | None = None) -> DataFrame:
+    """Decoded columns (all, or the given ones) in canonical order behind those of ``df``.
+
+    ``df`` must have payload, csp_header_hex and csp_crc_valid. Only what is asked for is made: the plan holds no other
+    expressions, "arrow" reads no other numbers, and the checksum runs only for ``csp_crc_valid``.
+    """
     if engine not in ("arrow", "native"):
         raise ValueError("engine: arrow or native")
+    wanted = [c for c in decoded_columns() if columns is None or c in columns]
+    if columns is not None and (unknown := set(columns) - set(wanted)):
+        raise ValueError(f"no decoded columns: {sorted(unknown)}")
+    numbers: dict[tuple[int, str], None] = {}
+
+    def raw(offset: int, code: str) -> Column:
+        numbers[offset, code] = None
+        return F.col(f"_{code}{offset}") if engine == "arrow" else B.number("payload", offset, code)
+
+    known, whole = _formulas(raw), F.col("_whole")
+    make = lambda name: F.when(whole.isin(*known[name][0]), known[name][1]())
+    out: dict[str, Column] = {}
+    for name in wanted:
+        if name == "packet_type":
+            out[name] = F.col("_kind")
+        elif name == "general_message":
+            out[name] = F.coalesce(make("log_message"), make("tcmd_response_text"), make("_bulk_text"))
+        elif name in ("csp_header_hex", "csp_crc_valid"):
+            out[name] = F.when(F.length("payload") > 0, F.col(name))
+        else:
+            out[name] = make(name)
     own = [c for c in df.columns if c not in ("payload", "csp_header_hex", "csp_crc_valid")]
-    rows = with_numbers(df) if engine == "arrow" else df
-    p = F.col("payload")
-    raw = {n: F.col(n) if engine == "arrow" else B.number(p, o, c) for o, c, n in _NUMBERS}
-    kind = F.when(F.length(p) > 0, F.coalesce(F.try_element_at(_map("PACKET_TYPE"), raw["_b0"]), F.lit("UNKNOWN")))
-    rows = rows.withColumn("_kind", kind)
-    k = F.col("_kind")
-    full = {name: (k == name) & (F.length(p) >= least) for name, least in L.LEAST_BYTES.items()}
-    beacon, extended = full["BEACON_BASIC"] | full["BEACON_EXTENDED"], full["BEACON_EXTENDED"]
-    out: dict[str, Column] = {"packet_type": k}
-    made: list[tuple[str, Column, Column]] = [("satellite_name", beacon, B.ascii_text(F.substring("payload", *_at(L.NAME_AT))))]
-    for o, _, name, meaning, argument in L.BASIC_FIELDS[1:]:
-        value = raw[f"_b{o}"]
-        made.append((name, beacon, _shown(value, meaning, argument)))
-        if name == "uptime_ms":
-            made.append(("uptime_sec", beacon, F.round(value / 1000.0, 3)))
-        if name == "unix_epoch_time_ms":
-            made.append(("utc_time", beacon, utc_text(value)))
-    made.append(("friendly_message", beacon, B.until_nul(B.utf8(F.substring("payload", *_at(L.MESSAGE_AT))))))
-    made.append(("end_version_number", extended, B.until_nul(B.utf8(F.substring("payload", *_at(L.END_AT))))))
-    for o, _, name, meaning, argument in L.EXTENDED_FIELDS:
-        made.append((name, extended, _shown(raw[f"_b{o}"], meaning, argument)))
-    state = raw["_s164"] + raw["_s168"].cast("bigint") * (1 << 32)
-    bits = lambda low, n: F.shiftright(state, low).bitwiseAND((1 << n) - 1)
-    for name, codes, low, n in (("adcs_attitude_estimation_mode", "ADCS_ESTIM_MODE", 0, 4), ("adcs_control_mode", "ADCS_CONTROL_MODE", 4, 4), ("adcs_run_mode", "ADCS_RUN_MODE", 8, 2), ("adcs_asgp4_mode", "ADCS_ASGP4_MODE", 10, 2)):
-        made.append((name, extended, named(codes, bits(low, n), numbered=True)))
-    made.append(("adcs_sun_above_local_horizon", extended, bits(23, 1) == 1))
-    for name, names in L.STATE_BITS.items():
-        made.append((name, extended, _json(names, lambda b: bits(b, 1) == 1)))
-    made.append(("raw_payload_hex", full["BEACON_PERIPHERAL"], B.lower_hex(p)))
-    made.append(("_note", full["BEACON_PERIPHERAL"], F.lit(L.PERIPHERAL_NOTE)))
-    reply, bulk = full["TCMD_RESPONSE"], full["BULK_FILE_DOWNLINK"]
-    data = F.substring("payload", 6, L.BULK_DATA)
-    made += [
-        ("tcmd_ts_sent", reply, raw["_t1"]), ("tcmd_response_code", reply, raw["_t9"]), ("tcmd_duration_ms", reply, raw["_t10"]),
-        ("tcmd_response_seq_num", reply, raw["_t12"]), ("tcmd_response_max_seq_num", reply, raw["_t13"]),
-        ("tcmd_response_text", reply, B.until_nul(B.utf8(F.substring("payload", 15, L.TCMD_DATA)))),
-        ("log_message", full["LOG_MESSAGE"], B.until_last_newline(B.utf8(F.substring("payload", 2, L.LOG_DATA)))),
-        ("bulk_file_offset", bulk, raw["_k1"]), ("bulk_data_len", bulk, F.length(data)), ("bulk_data_hex", bulk, B.lower_hex(data)),
-        ("_bulk_text", bulk, bulk_text(data)),
-    ]
-    out |= {name: F.when(guard, value) for name, guard, value in made}
-    out["general_message"] = F.coalesce(out["log_message"], out["tcmd_response_text"], out.pop("_bulk_text"))
-    for name in ("csp_header_hex", "csp_crc_valid"):
-        out[name] = F.when(F.length(p) > 0, F.col(name))
-    return rows.select(*own, *[out[n].alias(n) for n in ordered(list(out))])
+    rows = df.select(*own, "payload", *[c for c in ("csp_header_hex", "csp_crc_valid") if c in out])
+    if engine == "arrow" and numbers:
+        rows = with_numbers(rows, list(numbers))
+    rows = rows.withColumn("_kind", packet_kind())
+    rows = rows.withColumn("_whole", F.when(complete(F.col("_kind")), F.col("_kind")))
+    return rows.select(*own, *[c.alias(n) for n, c in out.items()])
 
 
 def _at(place: tuple[int, int]) -> tuple[int, int]:
@@ -204,7 +227,7 @@ def by_receipt(decoded: DataFrame) -> DataFrame:
 
 def type_counts(df: DataFrame) -> DataFrame:
     """(packet_type, n), most frequent first; undecodable packets are the null type. Reads one byte of each payload."""
-    return df.select(packet_kind(F.col("payload")).alias("packet_type")).groupBy("packet_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "packet_type")
+    return df.select(packet_kind().alias("packet_type")).groupBy("packet_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "packet_type")
 
 
 def last_beacon(decoded: DataFrame, order: str = "received_timestamp", tie: str | None = None) -> DataFrame:

@@ -11,14 +11,20 @@ from groundlake.operators import decode, rejects
 from groundlake.plans.tables import table
 
 
-def _decoded(spark: SparkSession, folder: str, engine: str = "arrow") -> DataFrame:
-    return decode.decode(decode.from_archive(table(spark, folder, "packet"), "packet_id"), engine)
+def _decoded(spark: SparkSession, folder: str, engine: str = "arrow", columns: list[str] | None = None) -> DataFrame:
+    return decode.decode(decode.from_archive(table(spark, folder, "packet"), "packet_id"), engine, columns)
 
 
 def _typed(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.col(f.name).try_cast("bigint") for f in df.schema if f.dataType.simpleString() == "decimal(20,0)"})
 
 
+def _some(spark: SparkSession, folder: str, columns: list[str], present: str, engine: str = "native") -> DataFrame:
+    """The given columns of packets that have the column ``present``."""
+    out = _decoded(spark, folder, engine, columns).filter(F.col(present).isNotNull())
+    return _typed(out.select("packet_id", *columns))
+
+
 _BASIC = ["satellite_name", "uptime_sec", "utc_time", "friendly_message", *[f[2] for f in L.BASIC_FIELDS[1:]]]
 _STATE = ["adcs_attitude_estimation_mode", "adcs_control_mode", "adcs_run_mode", "adcs_asgp4_mode", "adcs_sun_above_local_horizon", *L.STATE_BITS]
 
@@ -28,40 +34,42 @@ def packet_type_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def beacon_basic(spark: SparkSession, folder: str) -> DataFrame:
-    return _typed(_decoded(spark, folder).filter("satellite_name IS NOT NULL").select("packet_id", "packet_type", *_BASIC))
+    return _some(spark, folder, ["packet_type", *_BASIC], "satellite_name", "arrow")
 
 
 def beacon_extended(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder).filter("end_version_number IS NOT NULL").select("packet_id", "end_version_number", *[f[2] for f in L.EXTENDED_FIELDS], *_STATE)
+    return _some(spark, folder, ["end_version_number", *[f[2] for f in L.EXTENDED_FIELDS], *_STATE], "end_version_number", "arrow")
 
 
 def beacon_native(spark: SparkSession, folder: str) -> DataFrame:
-    out = _decoded(spark, folder, "native").filter("satellite_name IS NOT NULL")
-    return _typed(out.select("packet_id", "unix_epoch_time_ms", "eps_mode", "eps_battery_voltage_V", "obc_temperature_C"))
+    return _some(spark, folder, ["unix_epoch_time_ms", "eps_mode", "eps_battery_voltage_V", "obc_temperature_C"], "eps_mode")
 
 
 def telecommand_replies(spark: SparkSession, folder: str) -> DataFrame:
-    out = _decoded(spark, folder, "native").filter("tcmd_ts_sent IS NOT NULL")
-    return _typed(out.select("packet_id", "tcmd_ts_sent", "tcmd_response_code", "tcmd_duration_ms", "tcmd_response_seq_num", "tcmd_response_max_seq_num", "tcmd_response_text"))
+    return _some(spark, folder, ["tcmd_ts_sent", "tcmd_response_code", "tcmd_duration_ms", "tcmd_response_seq_num", "tcmd_response_max_seq_num", "tcmd_response_text"], "tcmd_ts_sent")
 
 
 def log_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, "native").filter("log_message IS NOT NULL").select("packet_id", "log_message")
+    return _some(spark, folder, ["log_message"], "log_message")
 
 
 def bulk_downlinks(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, "native").filter("bulk_data_len IS NOT NULL").select("packet_id", "bulk_file_offset", "bulk_data_len", "bulk_data_hex")
+    return _some(spark, folder, ["bulk_file_offset", "bulk_data_len", "bulk_data_hex"], "bulk_data_len")
+
+
+def peripheral_beacons(spark: SparkSession, folder: str) -> DataFrame:
+    return _some(spark, folder, ["raw_payload_hex", "_note"], "raw_payload_hex")
 
 
 def general_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return _decoded(spark, folder, "native").select("packet_id", "packet_type", "general_message")
+    return _decoded(spark, folder, "native", ["packet_type", "general_message"]).select("packet_id", "packet_type", "general_message")
 
 
 def partial_packets(spark: SparkSession, folder: str) -> DataFrame:
     """Packets tagged with a type only, and undecodable ones."""
     rows = decode.from_archive(table(spark, folder, "packet"), "packet_id")
-    kind = decode.packet_kind(F.col("payload"))
-    return rows.filter(~F.coalesce(decode.complete(kind, F.col("payload")), F.lit(False))).select("packet_id", kind.alias("packet_type"), F.when(F.length("payload") > 0, F.col("csp_header_hex")).alias("csp_header_hex"))
+    kind = decode.packet_kind()
+    return rows.filter(~decode.complete(kind)).select("packet_id", kind.alias("packet_type"), F.when(F.length("payload") > 0, F.col("csp_header_hex")).alias("csp_header_hex"))
 
 
 def csp_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,19 +78,19 @@ def csp_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 def crc_summary(spark: SparkSession, folder: str) -> DataFrame:
     rows = decode.from_archive(table(spark, folder, "packet"))
-    return rows.groupBy(decode.packet_kind(F.col("payload")).alias("packet_type")).agg(F.count("*").alias("n"), F.count_if("csp_crc_valid").alias("n_valid"))
+    return rows.groupBy(decode.packet_kind().alias("packet_type")).agg(F.count("*").alias("n"), F.count_if("csp_crc_valid").alias("n_valid"))
 
 
 def hex_packets(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of the text exports, split into header and payload and tagged."""
     lines = rejects.loaded(rejects.parse_lines(table(spark, folder, "packet_line")))
     rows = decode.from_hex(lines, "payload_hex")
-    return rows.select("line_id", "csp_header_hex", decode.packet_kind(F.col("payload")).alias("packet_type"), F.length("payload").alias("n_bytes"))
+    return rows.select("line_id", "csp_header_hex", decode.packet_kind().alias("packet_type"), F.length("payload").alias("n_bytes"))
 
 
 def last_beacon(spark: SparkSession, folder: str) -> DataFrame:
-    out = decode.last_beacon(_decoded(spark, folder, "native"), tie="packet_id")
-    return _typed(out.select("packet_id", "satellite_name", "uptime_ms", "eps_mode", "eps_battery_percent"))
+    columns = ["packet_type", "satellite_name", "uptime_ms", "eps_mode", "eps_battery_percent"]
+    return _typed(decode.last_beacon(_decoded(spark, folder, "native", columns), tie="packet_id").select("packet_id", *columns[1:]))
 
 
 def decoded_by_receipt(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,7 +40,7 @@ def test_hex_packets_and_text_rules(spark):
     df = spark.createDataFrame([("AABBCCDD 0341",), ("aabbccdd",), ("abc",), ("zz",), (None,)], "hex_payload string")
     assert [r.payload and bytes(r.payload) for r in decode.from_hex(df).collect()] == [b"\x03A", None, None, None, None]
     t = spark.createDataFrame([(bytearray(b"a\xffb\0c"),)], "b binary")
-    r = t.select(binary.until_nul(binary.utf8(F.col("b"))).alias("u"), binary.ascii_text(F.col("b")).alias("a"), binary.number(F.col("b"), 1, "b").alias("n")).head()
+    r = t.select(binary.until_nul(binary.utf8(F.col("b"))).alias("u"), binary.ascii_text(F.col("b")).alias("a"), binary.number("b", 1, "b").alias("n")).head()
     assert (r.u, r.a, r.n) == ("a�b", "a�b\0c", -1)
 
 
