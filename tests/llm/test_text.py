@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from groundlake.llm import encode, mix, spam
 
@@ -13,23 +15,37 @@ def tok():
 
 
 def pieces(tok, text, size):
-    found = encode.cut(text, size)
-    assert "".join(p[2] for p in found) == text
-    return tok.tree([encode._encode_cut(tok, run, t) for _, run, t in found], [h for h, *_ in found])
+    parts = encode.halves(text, size)
+    assert "".join(parts) == text and all(0 < len(p) <= size for p in parts)
+    return tok.tree([tok.encode(p) for p in parts])
 
 
-def test_cut_and_join_is_exact(tok):
+def test_halving_and_joining_is_exact(tok):
     g = random.Random(1)
-    for _ in range(1500):
+    for _ in range(4000):
         text = "".join(g.choice(ALPHABET[: g.choice([2, 4, 9, 21])]) for _ in range(g.randint(1, 100)))
-        assert pieces(tok, text, g.randint(2, 20)) == tok.encode(text)
+        assert pieces(tok, text, g.randint(1, 20)) == tok.encode(text), text
 
 
-def test_long_unsplit_text(tok):
+@settings(max_examples=300, deadline=None)
+@given(st.text(min_size=1, max_size=200), st.integers(1, 40))
+def test_any_text_is_exact(text, size):
+    tok = encode.tokenizer(encode.vocabulary())
+    text = text.encode(errors="ignore").decode()
+    if text:
+        assert pieces(tok, text, size) == tok.encode(text)
+
+
+def test_long_unsplit_text(tok, monkeypatch):
     g = random.Random(2)
-    text = "".join(g.choice("abcdefghij") for _ in range(20_000))
-    assert pieces(tok, text, 1000) == tok.encode(text)
-    assert pieces(tok, "日本語" * 3000, 700) == tok.encode("日本語" * 3000)
+    runs = ["".join(g.choice("abcdefghij") for _ in range(20_000)), "日本語" * 3000, "=-" * 4000, " " * 5000 + "x", "\n" * 3000 + " y", "7" * 4000, "é" * 4000, "a" * 9000]
+    widest = []
+    original = encode.Tokenizer.piece
+    monkeypatch.setattr(encode.Tokenizer, "piece", lambda self, data: widest.append(len(data)) or original(self, data))
+    for text in runs:
+        assert pieces(tok, text, 700) == tok.encode(text)
+    assert widest and max(widest) < 3000  # the windows stay small in a long run
+    assert tok.merged("unsplit text".encode()) == tok.piece(b"unsplit text")
 
 
 def test_same_ids_as_the_other_library(tok):
@@ -45,21 +61,27 @@ def test_encode_rows(spark, tok):
     long = "word " * 500 + "x" * 5000 + " end" * 300
     rows = [(1, "a b"), (2, ""), (3, None), (4, long), (4, long), (None, "z")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS ids", "2 AS k", "3 AS piece")
-    got = sorted((r.doc_id or 0, list(r.ids)) for r in encode.encode(df, long_chars=600, piece_chars=200).collect())
+    got = sorted((r.doc_id or 0, list(r.ids)) for r in encode.encode(df, piece_chars=200, fan=3).collect())
     assert got == sorted((k or 0, tok.encode(t) if t else []) for k, t in rows)
     assert encode.encode(df.limit(0)).count() == 0
 
 
-def test_very_long_documents_reach_the_tree(spark, tok, monkeypatch):
-    text = "word " * 4000 + "x" * 10_000 + " end" * 300  # as long as those of the supplied documents
+def test_documents_reach_the_tree(spark, tok, monkeypatch):
+    """The supplied documents are joined out of leaves wherever they are longer than one, and all ids are those of both libraries."""
+    from tokenizers import Tokenizer
+
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     seen = []
     original = encode.laid_out
     monkeypatch.setattr(encode, "laid_out", lambda df, *a: original(seen.append(df) or df, *a))
-    df = spark.createDataFrame([(1, text), (2, "a b")], "doc_id bigint, text string")
-    got = {r.doc_id: list(r.ids) for r in encode.encode(df).collect()}
-    assert got == {1: tok.encode(text), 2: tok.encode("a b")}
-    pieces = seen[0].collect()  # those of the one long text
-    assert len(pieces) > 8 and {r.k for r in pieces} == {1} and any(r.hard for r in pieces)
+    got = {r.doc_id: list(r.ids) for r in encode.encode(documents).collect()}
+    texts = {r.doc_id: r.text or "" for r in documents.select("doc_id", "text").collect()}
+    other = Tokenizer.from_file(encode.vocabulary().replace(".tiktoken", ".json"))
+    other.encode_special_tokens = True
+    assert got == {k: tok.encode(t) for k, t in texts.items()}
+    assert got == dict(zip(texts, (e.ids for e in other.encode_batch(list(texts.values()), add_special_tokens=False))))
+    through = {r.k for r in seen[0].collect()}
+    assert through == {k for k, t in texts.items() if len(t) > 2048} and len(through) > 20
 
 
 def brute_mix(rows, goals, key):
