@@ -1,8 +1,10 @@
 """Lines that fail to parse (problem 2).
 
-Blocks of lines are parsed as a whole by columnar Arrow kernels. A block with any fault is bisected until failing
-blocks of a few lines are left; only those are read character by character, which isolates the bad lines and names
-the first reason that applies.
+Blocks of lines are parsed by columnar Arrow kernels, stage by stage: quoting and columns, timestamp, payload,
+observation. A kernel that tells which values it refuses places the bad lines itself. One that only fails as a whole
+(an impossible date, a number beyond bigint) fails the block, which is then bisected, at that stage, down to the
+single bad lines. The other lines of the block go on to the next stage, so a bad line costs its neighbours nothing, and
+only bad lines are read character by character, to name the first reason that applies.
 
 Reasons, in order: ``quoting``, ``columns``, ``timestamp``, ``payload``, ``observation``. Defined results: a null
 line has no fields and is a ``columns`` fault, so is an empty line; a leading byte-order mark and one trailing CR
@@ -13,8 +15,9 @@ not carried.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import date
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +39,6 @@ OUTPUT = "received_us bigint, payload_hex string, observation_id bigint, ground_
 _ARROW = [("received_us", pa.int64()), ("payload_hex", pa.string()), ("observation_id", pa.int64()), ("ground_station", pa.string()), ("reason", pa.string())]
 
 
-class BlockFault(ValueError):
-    """A block holds at least one line that does not parse."""
-
-
-def _require(ok: pa.Array | pa.ChunkedArray) -> None:
-    if not pc.all(pc.fill_null(ok, False), min_count=0).as_py():
-        raise BlockFault
-
-
 def _unquoted(field: pa.Array) -> pa.Array:
     quoted = pc.starts_with(field, '"')
     if not pc.any(quoted, min_count=0).as_py():
@@ -53,37 +47,79 @@ def _unquoted(field: pa.Array) -> pa.Array:
     return pc.if_else(quoted, inner, field)
 
 
-def parse_block(lines: pa.Array) -> list[pa.Array]:
-    """The columns of a block in which every line is valid; else BlockFault."""
-    _require(lines.is_valid())
-    row = pc.extract_regex(pc.replace_substring_regex(lines, r"\r$", ""), _ROW)
-    _require(row.is_valid())
-    when, payload, observation, station = (_unquoted(pc.struct_field(row, [k])) for k in range(4))
-    t = pc.extract_regex(when, _TIME)
-    _require(t.is_valid())
-    day, h, m, s, frac, zone = (pc.struct_field(t, [k]) for k in range(6))
-    try:
-        days = pc.cast(pc.cast(day, pa.date32()), pa.int32())
-    except pa.ArrowInvalid as e:
-        raise BlockFault from e
-    _require(pc.greater_equal(day, "0001"))
-    h, m, s = (pc.cast(x, pa.int64()) for x in (h, m, s))
-    _require(pc.and_(pc.and_(pc.less(h, 24), pc.less(m, 60)), pc.less(s, 60)))
-    zoned = pc.if_else(pc.or_(pc.equal(zone, "Z"), pc.equal(zone, "")), "+00:00", zone)
-    zh, zm = (pc.cast(pc.utf8_slice_codeunits(zoned, a, a + 2), pa.int64()) for a in (1, 4))
-    _require(pc.and_(pc.less(zh, 24), pc.less(zm, 60)))
-    away = pc.multiply(pc.if_else(pc.starts_with(zoned, "-"), -1, 1), pc.add(pc.multiply(zh, 3600), pc.multiply(zm, 60)))
-    clock = pc.add(pc.add(pc.multiply(h, 3600), pc.multiply(m, 60)), pc.subtract(s, away))
-    seconds = pc.add(pc.multiply(pc.cast(days, pa.int64()), 86400), clock)
-    micros = pc.cast(pc.utf8_rpad(pc.utf8_slice_codeunits(frac, 0, 6), 6, "0"), pa.int64())
-    digits = pc.replace_substring_regex(payload, "[ \t]", "")
-    _require(pc.match_substring_regex(digits, rf"^(?:[0-9A-Fa-f]{{2}}){{{LEAST_BYTES},}}$"))
-    _require(pc.match_substring_regex(observation, "^[0-9]*$"))
+def isolated(kernel: Callable[[pa.Array], pa.Array], values: pa.Array, at: int = 0) -> Iterator[int]:
+    """Places of the values that make a kernel fail, found by halving what fails."""
     try:
-        number = pc.cast(pc.if_else(pc.equal(observation, ""), pa.scalar(None, pa.string()), observation), pa.int64())
-    except pa.ArrowInvalid as e:
-        raise BlockFault from e
-    return [pc.add(pc.multiply(seconds, 1_000_000), micros), pc.ascii_lower(digits), number, station, pa.nulls(len(lines), pa.string())]
+        kernel(values)
+    except pa.ArrowInvalid:
+        n = len(values)
+        if n == 1:
+            yield at
+        else:
+            yield from isolated(kernel, values.slice(0, n // 2), at)
+            yield from isolated(kernel, values.slice(n // 2), at + n // 2)
+
+
+class _Rows:
+    """The lines of a block that are still valid: their places, and the columns made of them so far."""
+
+    def __init__(self, lines: pa.Array) -> None:
+        self.places = np.arange(len(lines))
+        self.columns: dict[str, pa.Array] = {"line": lines}
+
+    def keep(self, fine: pa.Array) -> None:
+        """Drops the lines of which ``fine`` is not true."""
+        mask = pc.fill_null(fine, False)
+        if not pc.all(mask, min_count=0).as_py():
+            self.places = self.places[np.asarray(mask.to_numpy(zero_copy_only=False), bool)]
+            self.columns = {k: v.filter(mask) for k, v in self.columns.items()}
+
+    def cast(self, name: str, kernel: Callable[[pa.Array], pa.Array]) -> None:
+        """Replaces a column by what a kernel makes of it that only fails as a whole; drops the lines it fails at."""
+        try:
+            self.columns[name] = kernel(self.columns[name])
+        except pa.ArrowInvalid:
+            fine = np.ones(len(self.places), bool)
+            fine[list(isolated(kernel, self.columns[name]))] = False
+            self.keep(pa.array(fine))
+            self.columns[name] = kernel(self.columns[name])
+
+    def split(self, name: str, pattern: str, parts: dict[str, str]) -> None:
+        """Adds a column for each group of the pattern; drops the lines that do not match."""
+        found = pc.extract_regex(self.columns.pop(name), pattern)
+        self.columns["_"] = found
+        self.keep(found.is_valid())
+        found = self.columns.pop("_")
+        self.columns |= {to: pc.struct_field(found, [group]) for group, to in parts.items()}
+
+
+def parse_block(lines: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """(places of the valid lines, their output columns)."""
+    rows = _Rows(lines)
+    c = rows.columns
+    c["line"] = pc.replace_substring_regex(lines, r"\r$", "")
+    rows.keep(lines.is_valid())
+    rows.split("line", _ROW, {"a": "when", "b": "payload", "c": "observation", "d": "station"})
+    rows.columns = {k: _unquoted(v) for k, v in rows.columns.items()}
+    rows.split("when", _TIME, {"day": "day", "h": "h", "m": "m", "s": "s", "f": "f", "z": "z"})
+    rows.keep(pc.greater_equal(rows.columns["day"], "0001"))
+    rows.cast("day", lambda x: pc.cast(pc.cast(x, pa.date32()), pa.int32()))
+    c = rows.columns
+    c["z"] = pc.replace_with_mask(c["z"], pc.or_(pc.equal(c["z"], "Z"), pc.equal(c["z"], "")), "+00:00")
+    c["zh"], c["zm"] = (pc.utf8_slice_codeunits(c["z"], a, a + 2) for a in (1, 4))
+    c |= {k: pc.cast(c[k], pa.int64()) for k in ("h", "m", "s", "zh", "zm")}
+    within = [pc.less(c[k], limit) for k, limit in (("h", 24), ("m", 60), ("s", 60), ("zh", 24), ("zm", 60))]
+    rows.keep(reduce(pc.and_, within))
+    rows.columns["payload"] = pc.replace_substring_regex(rows.columns["payload"], "[ \t]", "")
+    rows.keep(pc.match_substring_regex(rows.columns["payload"], rf"^(?:[0-9A-Fa-f]{{2}}){{{LEAST_BYTES},}}$"))
+    rows.keep(pc.match_substring_regex(rows.columns["observation"], "^[0-9]*$"))
+    rows.cast("observation", lambda x: pc.cast(pc.replace_with_mask(x, pc.equal(x, ""), pa.scalar(None, pa.string())), pa.int64()))
+    c = rows.columns
+    away = pc.multiply(pc.if_else(pc.starts_with(c["z"], "-"), -1, 1), pc.add(pc.multiply(c["zh"], 3600), pc.multiply(c["zm"], 60)))
+    clock = pc.add(pc.add(pc.multiply(c["h"], 3600), pc.multiply(c["m"], 60)), pc.subtract(c["s"], away))
+    seconds = pc.add(pc.multiply(pc.cast(c["day"], pa.int64()), 86400), clock)
+    micros = pc.cast(pc.utf8_rpad(pc.utf8_slice_codeunits(c["f"], 0, 6), 6, "0"), pa.int64())
+    return rows.places, [pc.add(pc.multiply(seconds, 1_000_000), micros), pc.ascii_lower(c["payload"]), c["observation"], c["station"], pa.nulls(len(rows.places), pa.string())]
 
 
 def split_line(line: str) -> list[str] | None:
@@ -148,46 +184,29 @@ def diagnose(line: str | None) -> str | None:
     return None
 
 
-def _bisect(lines: pa.Array, at: int, leaf: int, good: list[tuple[int, list[pa.Array]]], doubtful: list[int]) -> None:
-    """Parses what it can in whole blocks; rows of failing blocks of at most ``leaf`` lines become doubtful.
-
-    Recursion depth is the logarithm of the block size.
-    """
-    try:
-        good.append((at, parse_block(lines)))
-    except BlockFault:
-        n = len(lines)
-        if n <= leaf:
-            doubtful.extend(range(at, at + n))
-            return
-        _bisect(lines.slice(0, n // 2), at, leaf, good, doubtful)
-        _bisect(lines.slice(n // 2), at + n // 2, leaf, good, doubtful)
-
-
-def parse_batch(lines: pa.Array, block_rows: int, leaf: int) -> list[pa.Array]:
+def parse_batch(lines: pa.Array, block_rows: int) -> list[pa.Array]:
     """The output columns of a batch, in its order."""
-    good: list[tuple[int, list[pa.Array]]] = []
-    doubtful: list[int] = []
+    places: list[np.ndarray] = []
+    parts: list[list[pa.Array]] = []
     for a in range(0, len(lines), block_rows):
-        _bisect(lines.slice(a, block_rows), a, leaf, good, doubtful)
-    places = [np.arange(at, at + len(columns[0])) for at, columns in good]
-    parts = [columns for _, columns in good]
-    reasons = [diagnose(lines[i].as_py()) for i in doubtful]
-    fine = [i for i, r in zip(doubtful, reasons, strict=True) if r is None]
-    if fine:  # valid lines beside bad ones; all of them parse as one block, or the two paths disagree
-        places.append(np.array(fine))
-        parts.append(parse_block(lines.take(pa.array(fine))))
-    bad = [(i, r) for i, r in zip(doubtful, reasons, strict=True) if r is not None]
-    if bad:
-        places.append(np.array([i for i, _ in bad]))
-        parts.append([pa.nulls(len(bad), t) for _, t in _ARROW[:-1]] + [pa.array([r for _, r in bad], pa.string())])
+        block = lines.slice(a, block_rows)
+        good, columns = parse_block(block)
+        places.append(good + a)
+        parts.append(columns)
+        bad = np.setdiff1d(np.arange(len(block)), good, assume_unique=True)
+        if len(bad):
+            reasons = [diagnose(block[int(i)].as_py()) for i in bad]
+            if None in reasons:
+                raise AssertionError(f"the kernels refuse a valid line: {block[int(bad[reasons.index(None)])].as_py()!r}")
+            places.append(bad + a)
+            parts.append([pa.nulls(len(bad), t) for _, t in _ARROW[:-1]] + [pa.array(reasons, pa.string())])
     if not parts:
         return [pa.array([], t) for _, t in _ARROW]
     order = pa.array(np.argsort(np.concatenate(places), kind="stable"))
     return [pa.concat_arrays([p[k].cast(t) for p in parts]).take(order) for k, (_, t) in enumerate(_ARROW)]
 
 
-def parse_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", block_rows: int = 512, leaf: int = 16) -> DataFrame:
+def parse_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", block_rows: int = 4096) -> DataFrame:
     """(key, received_us, payload_hex, observation_id, ground_station, reason), one row a line.
 
     ``reason`` is null for the loaded rows and tells the fault of the others, whose parsed columns are null.
@@ -198,7 +217,7 @@ def parse_lines(df: DataFrame, key: str = "line_id", line: str = "raw_line", blo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = parse_batch(b.column(1), block_rows, leaf)
+            columns = parse_batch(b.column(1), block_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["k", *[n for n, _ in _ARROW]])
 
     return source.mapInArrow(run, f"k {kind}, {OUTPUT}").withColumnRenamed("k", key)
@@ -214,4 +233,4 @@ def faults(parsed: DataFrame) -> DataFrame:
     return parsed.filter("reason IS NOT NULL").select(parsed.columns[0], "reason")
 
 
-__all__ = ["BlockFault", "diagnose", "faults", "loaded", "parse_block", "parse_lines", "split_line"]
+__all__ = ["diagnose", "faults", "isolated", "loaded", "parse_block", "parse_lines", "split_line"]

@@ -31,12 +31,8 @@ def test_line_reasons(line, reason):
     import pyarrow as pa
 
     assert rejects.diagnose(line) == reason
-    block = pa.array([line], pa.string())
-    if reason is None:
-        rejects.parse_block(block)
-    else:
-        with pytest.raises(rejects.BlockFault):
-            rejects.parse_block(block)
+    places, columns = rejects.parse_block(pa.array([GOOD, line, GOOD], pa.string()))
+    assert places.tolist() == ([0, 1, 2] if reason is None else [0, 2]) and all(len(c) == len(places) for c in columns)
 
 
 @settings(max_examples=300, deadline=None)
@@ -47,24 +43,34 @@ def test_columnar_and_strict_paths_agree(noise, place):
     fields = GOOD.split("|")
     fields[place] = noise
     line = "|".join(fields)
-    try:
-        rejects.parse_block(pa.array([line]))
-        fast = True
-    except rejects.BlockFault:
-        fast = False
-    assert fast == (rejects.diagnose(line) is None)
+    assert (len(rejects.parse_block(pa.array([line]))[0]) == 1) == (rejects.diagnose(line) is None)
 
 
 def test_lines_are_bisected_in_any_block_size(spark):
     rows = [(k, GOOD if k % 7 else "bad") for k in range(400)] + [(None, None)]
     df = spark.createDataFrame(rows, "line_id bigint, raw_line string").selectExpr("*", "'x' AS reason", "1 AS k")
-    for size, leaf in ((1, 1), (13, 2), (512, 16)):
-        out = rejects.parse_lines(df, block_rows=size, leaf=leaf)
+    for size in (1, 13, 4096):
+        out = rejects.parse_lines(df, block_rows=size)
         assert out.filter("reason IS NULL").count() == sum(1 for k, r in rows if r == GOOD)
         assert sorted((-1 if r.line_id is None else r.line_id, r.reason) for r in rejects.faults(out).collect()) == sorted((k if k is not None else -1, "columns") for k, r in rows if r != GOOD)
     assert rejects.parse_lines(df.limit(0)).count() == 0
 
 
+def test_only_bad_lines_are_read_one_by_one(monkeypatch):
+    import pyarrow as pa
+
+    bad = [GOOD.replace("01-05", "02-30"), GOOD.replace("17", "9" * 30), GOOD + "|", "", GOOD.replace("84a6", "84a")]
+    lines = [bad[k // 7 % 5] if k % 7 == 3 else GOOD for k in range(5000)]
+    read, calls = [], []
+    original, kernel = rejects.diagnose, rejects.isolated
+    monkeypatch.setattr(rejects, "diagnose", lambda x: read.append(x) or original(x))
+    monkeypatch.setattr(rejects, "isolated", lambda *a: calls.append(len(a[1])) or kernel(*a))
+    out = rejects.parse_batch(pa.array(lines), 1024)
+    assert len(read) == sum(x != GOOD for x in lines) and max(calls) > 500 and calls.count(1) > 100
+    assert [r is None for r in out[-1].to_pylist()] == [x == GOOD for x in lines]
+    assert out[1].null_count == len(read)
+
+
 def ms(*a, tz=UTC):
     return int(datetime(*a, tzinfo=tz).timestamp() * 1000)
 
