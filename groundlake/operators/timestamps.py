@@ -3,11 +3,14 @@
 Every text yields an array of all its valid readings (format, instant, cost). For each source the readings of its
 records, in record order, form a lattice, and Viterbi picks the cheapest path: a switch of format and a jump back
 in time cost something, and so does a reading that a stated rule speaks against. Rule costs outweigh any path
-cost, so a rule decides wherever one is stated and the path decides the rest.
+cost, so a rule decides wherever one is stated and the path decides the rest: whether a date with a two-digit year
+ends or begins with it, and which zone an abbreviation of several means.
 
 The lattice is cut into blocks of the order column. A block is reduced to a small cost matrix between the readings
-of its first and last row; the matrices of a source are chained over one summary row a block, and the blocks are
-then decoded independently. The result equals one Viterbi run over the whole source, and no task holds a source.
+of its first and last row, beside the choices of its rows for each pair of these; the matrices of a source are chained
+over one summary row a block, which picks the pair. The result equals one Viterbi run over the whole source, no task
+holds a source, and each text is parsed once. Between two rows with one reading each the path is settled, so Viterbi
+only runs over rows with several readings and their neighbours.
 
 Defined results: null, empty or unreadable text gives no row; rows with a null source form one source; rows of
 equal order keep any order among themselves and each gets its result; extra columns are not carried.
@@ -16,20 +19,22 @@ equal order keep any order among themselves and each gets its result; extra colu
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from groundlake.functions.batches import laid_out, whole_groups
+from groundlake.session import written
 
 SWITCH, BACKWARD, AGAINST_RULE = 1.0, 1.0, 1e6
-BACK_TOLERANCE_US = 86_400_000_000
+LESS_USUAL = 0.5  # of a zone abbreviation's other meanings; less than one switch or jump
 _EPOCH = datetime(1970, 1, 1)
 _US = timedelta(microseconds=1)
 
@@ -39,6 +44,8 @@ ZONES = {
     "ACST": 570, "ACDT": 630, "AEST": 600, "AEDT": 660, "AWST": 480, "NST": -210, "NDT": -150, "AST": -240, "ADT": -180, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300,
     "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
+#: fixed values: other meanings of such abbreviations, in minutes
+MORE_ZONES = {"IST": (120, 60), "CST": (480, -300), "BST": (360,), "AST": (180,), "ADT": (240,), "GST": (-120,), "ECT": (-240,), "AMT": (240,), "SST": (480,), "PST": (480,), "WST": (780,), "EST": (600,)}
 MONTHS = {m[:k].lower(): i for i, m in enumerate("January February March April May June July August September October November December".split(), 1) for k in {3, len(m)}} | {"sept": 9}
 
 _TIME = r"(?P<h>\d{1,2}):(?P<mi>\d{2})(?::(?P<s>\d{2})(?:[.,](?P<f>\d+))?)?(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?))?"
@@ -48,6 +55,7 @@ _FORMS = [
     (name, re.compile(rf"{day}{_REST}\Z", re.ASCII))
     for name, day in (
         ("ymd", r"(?P<y>\d{4})(?P<sep>[-/.])(?P<a>\d{1,2})(?P=sep)(?P<b>\d{1,2})"),
+        ("two", r"(?P<a>\d{2})(?P<sep>[-/.])(?P<b>\d{1,2})(?P=sep)(?P<y>\d{2})(?!\d)"),
         ("end", r"(?P<a>\d{1,2})(?P<sep>[-/.])(?P<b>\d{1,2})(?P=sep)(?P<y>\d{4})"),
         ("dmon", r"(?P<a>\d{1,2})(?:\s+|-|\.\s*)(?P<mon>[A-Za-z]{3,9})\.?(?:\s+|-|,\s*)(?P<y>\d{4})"),
         ("mond", r"(?P<mon>[A-Za-z]{3,9})\.?\s+(?P<a>\d{1,2}),?\s+(?P<y>\d{4})"),
@@ -78,18 +86,18 @@ def _zone(name: str) -> ZoneInfo | None:
 
 
 @lru_cache(maxsize=4096)
-def _offset(text: str | None) -> tuple[bool, int | ZoneInfo | None]:
-    """(readable, minutes or zone or None for no zone stated)."""
+def _offsets(text: str | None) -> tuple[int | ZoneInfo, ...] | None:
+    """What a zone's text can mean, in minutes or as a zone, the usual first; empty if none is stated, None if it is no zone."""
     if not text:
-        return True, None
+        return ()
     if text[0] in "+-":
         digits = text[1:].replace(":", "")
         h, m = int(digits[:2]), int(digits[2:] or 0)
-        return (h < 24 and m < 60), (h * 60 + m) * (-1 if text[0] == "-" else 1)
+        return ((h * 60 + m) * (-1 if text[0] == "-" else 1),) if h < 24 and m < 60 else None
     if text.upper() in ZONES:
-        return True, ZONES[text.upper()]
+        return (ZONES[text.upper()], *MORE_ZONES.get(text.upper(), ()))
     zone = _zone(text) if "/" in text else None
-    return zone is not None, zone
+    return None if zone is None else (zone,)
 
 
 def _clock(m: re.Match) -> int | None:
@@ -114,6 +122,10 @@ def _day(y: int, m: int, d: int) -> int | None:
         return None
 
 
+def _century(y: int) -> int:
+    return y + (1900 if y >= 70 else 2000)
+
+
 def _days(text: str, rules: Rules) -> Iterator[tuple[str, int, float, re.Match | None]]:
     """Readings of the date part: (format, day, cost, match with the rest)."""
     if _NUMBER.match(text) and len(text) != 8:
@@ -131,6 +143,12 @@ def _days(text: str, rules: Rules) -> Iterator[tuple[str, int, float, re.Match |
         if not (m := form.match(text)):
             continue
         y, a = int(m["y"]), int(m["a"])
+        if name == "two":  # the year may stand at either end; nothing is stated about it
+            b = int(m["b"])
+            for tag, days in (("dmy2", _day(_century(y), b, a)), ("ymd2", _day(_century(a), b, y))):
+                if days is not None:
+                    yield tag + m["sep"], days, 0.0, m
+            return
         if name == "ymd":
             if (d := _day(y, a, int(m["b"]))) is not None:
                 yield name + m["sep"], d, 0.0, m
@@ -168,7 +186,7 @@ def date_readings(text: str | None, rules: Rules = Rules()) -> list[Reading]:
     """Readings as a date: midnight UTC; a time of day is ignored but must be possible."""
     out = []
     for name, day, cost, m in _days((text or "").strip(), rules):
-        if m is None or (_clock(m) is not None and _offset(m["z"])[0]):
+        if m is None or (_clock(m) is not None and _offsets(m["z"]) is not None):
             out.append((name, day * 86_400_000_000, cost))
     return out
 
@@ -178,25 +196,33 @@ def instant_readings(text: str | None, zone: int | ZoneInfo | None, dates: list[
     text = (text or "").strip()
     if _NUMBER.match(text) and len(text) != 8:
         return [("epoch%d" % len(text), int(text) * 10 ** (16 - len(text)), 0.0)] if len(text) in (10, 13, 16) else []
-    out = []
+    out: list[Reading] = []
+    seen: set[tuple[str, int]] = set()
+
+    def add(name: str, local_us: int, said: tuple[int | ZoneInfo, ...], cost: float) -> None:
+        for k, used in enumerate(said):
+            tag = name if len(said) == 1 else f"{name}@{used}"
+            for us, more in _instants(local_us, used, rules):
+                if (tag, us) not in seen:
+                    seen.add((tag, us))
+                    out.append((tag, us, cost + more + (LESS_USUAL if k else 0.0)))
+
     if dates is not None and (m := _CLOCK.match(text)):
-        clock, (fine, said) = _clock(m), _offset(m["z"])
-        if clock is not None and fine:
+        clock, said = _clock(m), _offsets(m["z"])
+        if clock is not None and said is not None:
             for _, day, cost in dates:
-                out += [("clock", us, cost + more) for us, more in _instants(day + clock, 0 if said is None else said, rules)]
+                add("clock", day + clock, said or (0,), cost)
         return out
     for name, day, cost, m in _days(text, rules):
-        if m is None or (clock := _clock(m)) is None:
+        if m is None or (clock := _clock(m)) is None or (said := _offsets(m["z"])) is None:
             continue
-        fine, said = _offset(m["z"])
-        used = zone if said is None else said
-        if fine and used is not None:
-            out += [(name, us, cost + more) for us, more in _instants(day * 86_400_000_000 + max(clock, 0), used, rules)]
+        if said or zone is not None:
+            add(name, day * 86_400_000_000 + max(clock, 0), said or (zone,), cost)
     return out
 
 
 def _step(a: Reading, b: Reading) -> float:
-    return b[2] + (SWITCH if a[0] != b[0] else 0.0) + (BACKWARD if b[1] < a[1] - BACK_TOLERANCE_US else 0.0)
+    return b[2] + (SWITCH if a[0] != b[0] else 0.0) + (BACKWARD if b[1] < a[1] else 0.0)
 
 
 def _forward(rows: list[list[Reading]], first: int) -> tuple[list[float], list[list[int]]]:
@@ -228,12 +254,47 @@ def viterbi(rows: list[list[Reading]], first: int | None = None, last: int | Non
     return out[::-1]
 
 
-_READINGS = pa.list_(pa.struct([("form", pa.string()), ("us", pa.int64()), ("cost", pa.float64())]))
+_READING = pa.struct([("form", pa.string()), ("us", pa.int64()), ("cost", pa.float64())])
 _READINGS_SQL = "array<struct<form:string,us:bigint,cost:double>>"
 
 
-def _rows(column: pa.ChunkedArray | pa.Array) -> list[list[Reading]]:
-    return [[(r["form"], r["us"], r["cost"]) for r in row] for row in column.to_pylist()]
+def _solve(sizes: np.ndarray, first: np.ndarray, rows: Callable[[int, int], list[list[Reading]]]) -> tuple[list[list[float]], np.ndarray]:
+    """(costs between the readings of the first and last row up to a constant, chosen instants by pair and row).
+
+    ``sizes``: readings a row; ``first``: the instant of a row's first reading; ``rows(a, z)``: readings of rows a..z.
+    """
+    n, single = len(sizes), np.flatnonzero(sizes == 1)
+    heads, tails = int(sizes[0]), int(sizes[-1])
+    picks = np.tile(first, (heads * tails, 1))
+
+    def put(where: list[int], a: int, own: list[list[Reading]], chosen: list[int]) -> None:
+        for k in where:
+            picks[k, a : a + len(own)] = [row[i][1] for row, i in zip(own, chosen, strict=True)]
+
+    if not len(single):
+        own = rows(0, n - 1)
+        matrix = [_forward(own, i)[0] for i in range(heads)]
+        for i in range(heads):
+            for j in range(tails):
+                put([i * tails + j], 0, own, viterbi(own, i, j))
+        return matrix, picks
+    every = list(range(heads * tails))
+    for a, z in zip(single[:-1], single[1:]):
+        if z - a > 1:
+            own = rows(int(a), int(z))
+            put(every, int(a), own, viterbi(own))
+    head_cost, tail_cost = [0.0] * heads, [0.0] * tails
+    if single[0] > 0:
+        own = rows(0, int(single[0]))
+        for i in range(heads):
+            head_cost[i] = _forward(own, i)[0][0]
+            put([i * tails + j for j in range(tails)], 0, own, viterbi(own, i))
+    if single[-1] < n - 1:
+        own = rows(int(single[-1]), n - 1)
+        tail_cost = _forward(own, 0)[0]
+        for j in range(tails):
+            put([i * tails + j for i in range(heads)], int(single[-1]), own, viterbi(own, 0, j))
+    return [[a + z for z in tail_cost] for a in head_cost], picks
 
 
 def _chain(group: list[dict]) -> Iterator[tuple[int, int]]:
@@ -273,23 +334,35 @@ def choose(readings: DataFrame, source: list[str], order: str, block: int = 4096
     """
     rows = readings.filter(F.size("readings") > 0).withColumn("_block", F.floor(F.col(order) / F.lit(block)).cast("bigint"))
     key = [*source, "_block"]
-    kept = rows.columns
-    laid = laid_out(rows, key, order)
+    kept = [c for c in rows.columns if c not in ("readings", "_block")]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    typed = lambda names: ", ".join(f"`{c}` {kinds[c]}" for c in names)
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in whole_groups(batches, key):
-            ends = [*starts[1:], t.num_rows]
-            out = []
+            column = t.column("readings").combine_chunks()
+            offsets, values = column.offsets.to_numpy(), column.values
+            instants, sizes = values.field("us").to_numpy(zero_copy_only=False), np.diff(offsets)
+            ends = np.append(starts[1:], t.num_rows)
+            matrices, chosen, pairs = [], [], []
             for a, z in zip(starts, ends, strict=True):
-                own = _rows(t.column("readings").slice(a, z - a))
-                out.append([_forward(own, i)[0] for i in range(len(own[0]))])
-            at = pa.array([int(s) for s in starts])
-            last = pa.array([int(z) - 1 for z in ends])
-            columns = [t.column(k).combine_chunks().take(at) for k in key] + [t.column("readings").combine_chunks().take(at), t.column("readings").combine_chunks().take(last)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.list_(pa.float64())))], [*key, "head", "tail", "matrix"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    summary = laid.mapInArrow(matrices, ", ".join(f"`{k}` {kinds[k]}" for k in key) + f", head {_READINGS_SQL}, tail {_READINGS_SQL}, matrix array<array<double>>")
+                def own(p: int, q: int, a: int = int(a)) -> list[list[Reading]]:
+                    return [[(r["form"], r["us"], r["cost"]) for r in row] for row in column.slice(a + p, q - p + 1).to_pylist()]
+
+                matrix, picks = _solve(sizes[a:z], instants[offsets[a:z]], own)
+                matrices.append(matrix)
+                chosen.append(picks.T.reshape(-1))  # by row, then by pair
+                pairs.append(np.full(int(z - a), len(picks)))
+            at, last = pa.array(np.asarray(starts)), pa.array(ends - 1)
+            us = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(pairs))), pa.int32()), pa.array(np.concatenate(chosen)))
+            items = pa.StructArray.from_arrays([*[t.column(c).combine_chunks() for c in kept], us], [*kept, "us"])
+            items = pa.ListArray.from_arrays(pa.array(np.append(starts, t.num_rows), pa.int32()), items)
+            columns = [t.column(k).combine_chunks().take(at) for k in key] + [column.take(at), column.take(last), pa.array(matrices, pa.list_(pa.list_(pa.float64()))), items]
+            yield pa.RecordBatch.from_arrays(columns, [*key, "head", "tail", "matrix", "items"])
+
+    item = "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in kept) + ",us:array<bigint>>"
+    blocks = laid_out(rows, key, order).mapInArrow(solved, f"{typed(key)}, head {_READINGS_SQL}, tail {_READINGS_SQL}, matrix array<array<double>>, items array<{item}>")
+    blocks = written(blocks, "blocks")
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Streams the summaries and holds one chain of blocks at a time."""
@@ -322,23 +395,19 @@ def choose(readings: DataFrame, source: list[str], order: str, block: int = 4096
         cols = list(zip(*out, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(cols, key)] + [pa.array(c, pa.int32()) for c in cols[len(key) :]], [*key, "_first", "_last"])
 
-    ends = laid_out(summary, source, "_block").mapInArrow(chains, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", _first int, _last int")
-    e = ends.select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(key)], "_first", "_last")
-    same = [rows[k].eqNullSafe(e[f"_e{i}"]) for i, k in enumerate(key)]
-    joined = laid_out(rows.join(e, same).select(*kept, "_first", "_last"), key, order)
+    summary = blocks.select(*key, "head", "tail", "matrix")
+    ends = laid_out(summary, source, "_block").mapInArrow(chains, f"{typed(key)}, _first int, _last int").filter("_first > 0 OR _last > 0")
+    x, e = blocks.alias("x"), ends.alias("e")
+    found = x.join(e, [F.col(f"x.{k}").eqNullSafe(F.col(f"e.{k}")) for k in key], "left")
+    at = F.coalesce(F.col("e._first") * F.size("x.tail") + F.col("e._last"), F.lit(0)) + 1
+    return found.select(at.alias("_at"), F.explode("x.items").alias("_i")).select(*[F.col("_i")[c].alias(c) for c in kept], F.element_at(F.col("_i.us"), F.col("_at")).alias("us"))
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in whole_groups(batches, key):
-            us: list[int] = []
-            for a, z in zip(starts, [*starts[1:], t.num_rows], strict=True):
-                own = _rows(t.column("readings").slice(a, z - a))
-                pick = viterbi(own, t.column("_first")[a].as_py(), t.column("_last")[a].as_py())
-                us += [row[k][1] for row, k in zip(own, pick, strict=True)]
-            names = [c for c in kept if c not in ("readings", "_block")]
-            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in names] + [pa.array(us, pa.int64())], [*names, "us"])
 
-    names = [c for c in kept if c not in ("readings", "_block")]
-    return joined.mapInArrow(decode, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", us bigint")
+def _readings(found: list[list[Reading]]) -> pa.ListArray:
+    flat = [r for row in found for r in row]
+    form, us, cost = zip(*flat, strict=True) if flat else ((), (), ())
+    values = pa.StructArray.from_arrays([pa.array(form, pa.string()), pa.array(us, pa.int64()), pa.array(cost, pa.float64())], fields=list(_READING))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(row) for row in found])), pa.int32()), values)
 
 
 def agenda_readings(agenda: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -356,7 +425,7 @@ def agenda_readings(agenda: DataFrame, rules: Rules = Rules()) -> DataFrame:
             n = b.num_rows
             thrice = [i for i in range(n) for _ in range(3)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(thrice, pa.int32())), b.column(1).take(pa.array(thrice, pa.int32())), pa.array(["mission_date", "start_utc_value", "uplink_start_dt"] * n, pa.string()), pa.array([[dict(zip(("form", "us", "cost"), r, strict=True)) for r in row] for row in found], _READINGS)],
+                [b.column(0).take(pa.array(thrice, pa.int32())), b.column(1).take(pa.array(thrice, pa.int32())), pa.array(["mission_date", "start_utc_value", "uplink_start_dt"] * n, pa.string()), _readings(found)],
                 ["agenda_id", "source", "field_name", "readings"],
             )
 

@@ -109,6 +109,30 @@ def test_viterbi_prefers_one_format_and_forward_time():
     assert tuple(pick) == every
 
 
+AGENDA = "agenda_id bigint, satellite_name string, site_zone string, mission_date string, start_utc_value string, uplink_start_dt string"
+
+
+def test_the_path_decides_what_no_rule_states(spark):
+    """Two-digit years at either end, and an abbreviation of several zones: each value alone has several free readings."""
+    day = [datetime(2003, 4, 1) + timedelta(days=40 * k) for k in range(60)]
+    rows, want = [], {}
+    for k, t in enumerate(day):
+        front, back = t.strftime("%y-%m-%d 10:00"), t.strftime("%d.%m.%y 10:00")
+        rows += [(len(rows) + j, name, None, None, text, None) for j, (name, text) in enumerate((("front", front), ("back", back)))]
+        want |= {rows[-2][0]: t.replace(hour=10), rows[-1][0]: t.replace(hour=10)}
+    at = datetime(2024, 5, 1)
+    for k in range(40):  # an hour apart; only +02:00 keeps the order
+        at += timedelta(hours=1)
+        zone = ("UTC", "IST")[k % 2]
+        rows.append((len(rows), "zone", None, None, (at + timedelta(hours=2 * (k % 2))).strftime("%Y-%m-%d %H:%M ") + zone, None))
+        want[rows[-1][0]] = at
+    assert len(timestamps.instant_readings("03-04-05 10:00", 0)) == 2 and len(timestamps.instant_readings("2024-05-01 10:00 IST", 0)) == 3
+    df = spark.createDataFrame(rows, AGENDA)
+    for block in (5, 4096):
+        got = {r.agenda_id: r.utc_ms for r in timestamps.normalised(df, block=block).collect()}
+        assert got == {k: int(t.replace(tzinfo=UTC).timestamp() * 1000) for k, t in want.items()}
+
+
 def test_blocks_don_t_change_the_path(spark):
     g = random.Random(5)
     texts = [g.choice(["%02d/%02d/2024 10:00", "%02d.%02d.2024 10:00:00"]) % (g.randint(1, 12), g.randint(1, 12)) if g.random() < 0.8 else "2024-05-06 10:00" for _ in range(400)]
