@@ -1,19 +1,22 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-Each text becomes a point of features: link density, tag density, function-word ratio, repetition of content words
-in the text and close by, entropy of words, and share of structured tokens (clock times, numbers in columns, commands). Per
-language, location and scale are median and median absolute deviation over all documents, and the correlation of
-the winsorised points gives a robust Mahalanobis distance. A text is a suspect if it is an outlier and its deviation,
-whitened, points in spam-directed directions: more links, tags or repetition, fewer function words, less entropy.
-Structured tokens point the other way, so logs, plans and tables are outliers of another direction. An exact check
-follows: links, link labels, tags and words amid repeated keywords must make up the text, and structure must not.
+Each text becomes a point of features: densities of links, of tags and of words amid repeated keywords, function-word
+ratio, repetition of content words in the text and close by, entropy of words, and share of structured tokens (clock
+times, numbers in columns, commands). Per language, location and scale are median and median absolute deviation over all
+documents, and the correlation of the winsorised points gives a robust Mahalanobis distance.
+
+A text is flagged if it is an outlier and its whitened deviation points in spam-directed directions: the length of its
+part towards more links, tags or keywords, plus that towards fewer function words, more repetition and less entropy,
+less three times what points towards more structure. So logs, plans and tables are outliers of another direction, and
+neither a few tags in prose nor repetition alone make a page spam. Nothing else decides.
 
 Language comes from script and function words, not from the declared one, which may be wrong; texts that show none
 are held against the statistics of all texts. Those of each language are drawn towards these as if ``prior`` more
 texts had them, so a rare language has statistics of its own in proportion to its count and no size switches them.
 
 Statistics are aggregates over all documents (percentile sketches and sums, combined on the map side). The driver
-sees one row of them a language, of which there are six.
+sees one row of them a language, of which there are six. A batch of texts is one array of words: each distinct token is
+read once a worker, the rest is NumPy over all words of the batch.
 
 Defined results: null, empty and blank texts are no cases and take no part in statistics; repeated rows are judged
 alike; extra columns are not carried.
@@ -21,9 +24,7 @@ alike; extra columns are not carried.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,24 +37,24 @@ from pyspark.sql import functions as F
 from groundlake.llm.words import ALL_WORDS, WORDS_OF
 from groundlake.session import written
 
-FEATURES = ("link", "tag", "function", "repeated", "close", "entropy", "structured")
+FEATURES = ("link", "tag", "stuffed", "function", "repeated", "close", "entropy", "structured")
 #: which way each feature points for spam
-DIRECTION = np.array([1.0, 1.0, -1.0, 1.0, 1.0, -1.0, -1.0])
+DIRECTION = np.array([1.0, 1.0, 1.0, -1.0, 1.0, 1.0, -1.0, -1.0])
+DENSITY, WORDING, STRUCTURE = slice(0, 3), slice(3, 7), 7
 #: least scale of each feature, as many texts have none of it at all
-FLOOR = np.array([0.03, 0.03, 0.04, 0.06, 0.05, 0.03, 0.03])
+FLOOR = np.array([0.03, 0.03, 0.03, 0.04, 0.06, 0.05, 0.03, 0.03])
 
 _TOKEN = re.compile(
-    r"(?P<anchor></?a\b[^>]*>)"
-    r"|(?P<link>(?:https?://|www\.)[^\s)\]>]+|[\w–-]+(?:\.[\w–-]+)+/[^\s)\]>]*)"
+    r"(?P<plain>[A-Za-z0-9À-ÖØ-öø-ɏ]++(?=[,.;:!?)]*+(?:\s|\Z)))"  # most words, told apart without a look at the rest
+    r"|(?P<anchor></?[aA]\b[^>\n\r]*>)"
+    r"|(?P<link>(?:[hH][tT]{2}[pP][sS]?://|[wW]{3}\.)[^\s)\]>]+|[\w–-]+(?:\.[\w–-]+)+/[^\s)\]>]*)"
     r"|(?P<tag>#\w+)"
-    r"|(?P<price>[$€£]\s?\d[\d.,]*)"
+    r"|(?P<price>[$€£][ \t]?\d[\d.,]*)"
     r"|(?P<cjk>[぀-ヿ㐀-鿿豈-﫿])"
-    r"|(?P<word>[^\W_]+(?:[.:,'’=@+/()_!$-]+[^\W_]+)*)",
-    re.IGNORECASE,
+    r"|(?P<word>[^\W_]+(?:[.:,'’=@+/()_!$-]+[^\W_]+)*)"
+    r"|(?P<line>[\n\r\v\f\x1c-\x1e\x85\u2028\u2029])",
 )
-_WORD = re.compile(r"[^\W_]+(?:[.:,'’=@+/()_!$-]+[^\W_]+)*")
-#: characters without which a line holds nothing but words
-_SPECIAL = re.compile(r"[<#$€£/぀-ヿ㐀-鿿豈-﫿]|www\.", re.IGNORECASE)
+_FIND = re.compile(re.sub(r"\?P<\w+>", "?:", _TOKEN.pattern)).findall
 _PARTS = re.compile(r"[^\W_]+(?:['’!$@][^\W_]+)*")
 _STRUCTURED = re.compile(r"\d.*[:.=(/+-]|[:.=(/+-].*\d|^[0-9a-f]{2}$|^(?=.*\d)[0-9a-f]{6,}$", re.IGNORECASE)
 _LEET = re.compile(r"[aeiouäöüáéíóúàèâêîôûy0-9!@$]")
@@ -62,21 +63,22 @@ _DOTTED = re.compile(r"[^\W\d_]+(?:\.{2,}[^\W_]+)+")
 _RUN = re.compile(r"\.{2,}|-{2,}|:{2,}|,{2,}|={2,}|\+{2,}|/{2,}|_{2,}")
 #: a word of such a chain, where "!", "$" and "@" stand for letters at its ends and in a row too
 _LINKED = re.compile(r"(?:[^\W_]|['’!$@])+")
-_LABEL_WORDS = 12
-_LANGUAGES = {w: tuple(k for k, own in WORDS_OF.items() if w in own) for w in ALL_WORDS}
+_LANGUAGES = tuple(WORDS_OF)
+LINK, TAG, STRUCTURED, KANA, WORD, LABEL, LINE = range(7)
 
 
 @dataclass(frozen=True)
 class Rule:
-    distance: float = 6.0  # of the spam-directed part of the whitened deviation
-    share: float = 0.2  # least share of links, tags and stuffed words; place names between keywords count as neither
-    structured: float = 0.1  # most structured tokens
+    distance: float = 6.0  # least robust distance of an outlier
+    directed: float = 16.5  # least length in spam-directed directions; many scales are at their floor, so it is large
+    against: float = 3.0  # weight of more structure than usual, which points the other way
     window: int = 8  # words to either side
     local_function: float = 0.25
     local_repeated: float = 0.6
     local_structured: float = 0.12
     repeats: int = 3
     near: int = 24
+    label_words: int = 12  # most words of a label a link
     prior: int = 50
 
 
@@ -93,138 +95,176 @@ def _chain(value: str) -> list[str] | None:
     return parts if lettered * 2 > len(parts) or _DOTTED.fullmatch(value) else None
 
 
-def _add_word(value: str, words: list[str], kinds: list[str]) -> None:
+def _words_of(value: str) -> list[tuple[str, int]]:
+    """The words of a word token and their kinds."""
     if value.isalpha():
-        words.append(value.lower())
-        kinds.append("w")
-    elif parts := _chain(value):
+        return [(value.lower(), WORD)]
+    if parts := _chain(value):
+        out: list[tuple[str, int]] = []
         for part in parts:
             if _STRUCTURED.search(part) and not part.isalpha():
-                words.append(part)
-                kinds.append("s")
+                out.append((part, STRUCTURED))
             else:
-                own = [w.strip("'’") for w in _LINKED.findall(part.lower()) if any(map(str.isalnum, w))]
-                words.extend(own)
-                kinds.extend("w" * len(own))
-    elif _STRUCTURED.search(value):
-        words.append(value)
-        kinds.append("s")
-    else:
-        parts = _PARTS.findall(value.lower())
-        words.extend(parts)
-        kinds.extend("w" * len(parts))
-
-
-def _tokens(text: str) -> tuple[list[str], list[str]]:
-    """Words and their kinds: l(ink), t(ag), s(tructured), h(iragana), w(ord)."""
-    words: list[str] = []
-    kinds: list[str] = []
-    for line in text.splitlines():
-        first, links = len(words), 0
-        if not _SPECIAL.search(line):  # plain words, the most common case
-            for value in _WORD.findall(line):
-                _add_word(value, words, kinds)
-            continue
-        for m in _TOKEN.finditer(line):
-            kind, value = m.lastgroup, m.group()
-            if kind == "anchor":
-                if value[1] != "/":
-                    words.append(value)
-                    kinds.append("l")
-                    links += 1
-            elif kind == "link":
-                words.append(value)
-                kinds.append("l")
-                links += 1
-            elif kind == "tag":
-                words.append(re.sub(r"[\d_]", "", value.lower()))
-                kinds.append("t")
-            elif kind == "cjk":
-                words.append(value)
-                kinds.append("h" if "぀" <= value <= "ゟ" else "w")
-            elif kind == "word":
-                _add_word(value, words, kinds)
-        if links:
-            # a link's label: the few other words of its line, if they make no sentence
-            rest = [i for i in range(first, len(words)) if kinds[i] == "w"]
-            if len(rest) <= _LABEL_WORDS * links and sum(words[i] in ALL_WORDS for i in rest) * 4 < max(1, len(rest)):
-                for i in rest:
-                    kinds[i] = "a"
-    return words, kinds
-
-
-@lru_cache(maxsize=65_536)
-def _shape(word: str) -> str:
-    """The word with vowels and what stands in for them made equal."""
-    return _LEET.sub("*", word)
-
-
-def language(words: list[str], kinds: list[str]) -> str:
-    """By script and function words; "all" if nothing tells."""
-    n = len(words) or 1
-    if sum(k == "h" for k in kinds) > 0.1 * n:
-        return "ja"
-    hits = dict.fromkeys(WORDS_OF, 0)
-    for w in words:
-        for k in _LANGUAGES.get(w, ()):
-            hits[k] += 1
-    best = max(hits, key=hits.__getitem__)
-    return best if hits[best] >= 3 and hits[best] >= 0.05 * n else "all"
-
-
-def point(text: str, rule: Rule = Rule()) -> tuple[str, list[float], float] | None:
-    """(language, features, share of spam words); None for a text without words."""
-    words, kinds = _tokens(text)
-    n = len(words)
-    if not n:
-        return None
-    function = [k == "h" or (k == "w" and w in ALL_WORDS) for w, k in zip(words, kinds, strict=True)]
-    content = [k in "wa" and not f and not w.isdigit() for w, k, f in zip(words, kinds, function, strict=True)]
-    shape = [_shape(w) if c and len(w) > 2 else w for w, c in zip(words, content, strict=True)]
-    counts = Counter(s for s, c in zip(shape, content, strict=True) if c)
-    often = [c and counts[s] >= rule.repeats for s, c in zip(shape, content, strict=True)]
-    last: dict[str, int] = {}
-    close = 0
-    for i, (s, c) in enumerate(zip(shape, content, strict=True)):
-        if c:
-            close += i - last.get(s, -rule.near - 1) <= rule.near
-            last[s] = i
-    total = Counter(shape)
-    entropy = -sum(c / n * math.log2(c / n) for c in total.values()) / math.log2(max(2, n))
-    link, tag, structured = (sum(map(kinds.count, x)) for x in ("la", "t", "s"))
-    f = [link / n, tag / n, sum(function) / n, sum(often) / n, close / n, entropy, structured / n]
-    marked = [k in "lat" for k in kinds]
-    if f[3] < 0.1:  # too few repeated words for any surroundings of keywords to matter
-        return language(words, kinds), f, sum(marked) / n
-    # words in surroundings of repeated keywords: sums over windows by prefix sums
-    st_one = [k == "s" for k in kinds]
-    columns = np.array([function, often, content, st_one], float)
-    prefix = np.zeros((4, n + 1))
-    np.cumsum(columns, axis=1, out=prefix[:, 1:])
-    at = np.arange(n)
-    a, z = np.maximum(0, at - rule.window), np.minimum(n, at + rule.window + 1)
-    fn, of, co, st = prefix[:, z] - prefix[:, a]
-    size = z - a
-    stuffed = (fn <= rule.local_function * size) & (of >= rule.local_repeated * np.maximum(co, 1)) & (co * 2 >= size) & (st <= rule.local_structured * size) & (columns[3] == 0)
-    return language(words, kinds), f, float((stuffed | np.array(marked)).mean())
-
+                out += [(w.strip("'’"), WORD) for w in _LINKED.findall(part.lower()) if any(map(str.isalnum, w))]
+        return out
+    if _STRUCTURED.search(value):
+        return [(value, STRUCTURED)]
+    return [(w, WORD) for w in _PARTS.findall(value.lower())]
+
+
+def _read_token(value: str) -> list[tuple[str, int]]:
+    kind = _TOKEN.fullmatch(value).lastgroup
+    if kind == "anchor":
+        return [] if value[1] == "/" else [(value, LINK)]
+    if kind == "link":
+        return [(value, LINK)]
+    if kind == "tag":
+        return [(re.sub(r"[\d_]", "", value.lower()), TAG)]
+    if kind == "cjk":
+        return [(value, KANA if "぀" <= value <= "ゟ" else WORD)]
+    if kind in ("plain", "word"):
+        return _words_of(value)
+    return [("\n", LINE)] if kind == "line" else []
+
+
+class Vocabulary(dict):
+    """Distinct tokens of a Python worker, each read once: token -> number. What a token says stands in arrays by number.
+
+    ``limit`` bounds it; a fuller one is begun anew between two batches.
+    """
 
-_POINTS = "k {kind}, lang string, share double, " + ", ".join(f"{f} double" for f in FEATURES)
+    def __init__(self, limit: int = 500_000) -> None:
+        super().__init__()
+        self.limit = limit
+        self.strings: dict[str, int] = {}
+        self.first, self.count = [], []  # by token: its words
+        self.kind, self.word, self.shape, self.digit, self.languages = [], [], [], [], []  # by word
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self)
+        words = _read_token(token)
+        self.first.append(len(self.kind))
+        self.count.append(len(words))
+        for w, kind in words:
+            self.kind.append(kind)
+            self.word.append(self.strings.setdefault(w, len(self.strings)))
+            shape = _LEET.sub("*", w) if len(w) > 2 else w  # vowels and what stands in for them made equal
+            self.shape.append(self.strings.setdefault(shape, len(self.strings)))
+            self.digit.append(w.isdigit())
+            self.languages.append(sum(1 << i for i, k in enumerate(_LANGUAGES) if w in WORDS_OF[k]))
+        return number
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """(words a text with line ends, columns of all words in order)."""
+        if len(self) > self.limit:
+            self.__init__(self.limit)
+        tokens: list[int] = []
+        lengths = []
+        for text in texts:
+            found = _FIND(text)
+            tokens += map(self.__getitem__, found)
+            lengths.append(len(found))
+        at = np.asarray(tokens, np.int64)
+        count = np.asarray(self.count, np.int64)[at] if len(at) else np.zeros(0, np.int64)
+        ends = np.append(0, np.cumsum(count))
+        places = np.repeat(np.asarray(self.first, np.int64)[at] - ends[:-1], count) + np.arange(ends[-1]) if len(at) else at
+        columns = {name: np.asarray(getattr(self, name), kind)[places] if len(places) else np.zeros(0, kind) for name, kind in (("kind", np.int8), ("word", np.int64), ("shape", np.int64), ("digit", bool), ("languages", np.int8))}
+        of = np.append(0, np.cumsum(lengths))
+        return ends[of[1:]] - ends[of[:-1]], columns
+
+
+@lru_cache(maxsize=1)
+def _vocabulary() -> Vocabulary:
+    return Vocabulary()
+
+
+def _sums(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(group, values, minlength=n)
+
+
+def features(texts: list[str], rule: Rule = Rule(), vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """(places of texts with words, their languages, features by text), all texts of a batch together."""
+    lengths, c = (vocabulary or _vocabulary()).read(texts)
+    text = np.repeat(np.arange(len(texts)), lengths)
+    ends = c["kind"] == LINE
+    line = (text + np.cumsum(ends))[~ends]  # new at every line end and text
+    text, kind, word, shape, digit, languages = text[~ends], *(c[k][~ends] for k in ("kind", "word", "shape", "digit", "languages"))
+    if not len(text):
+        return np.zeros(0, np.int64), [], np.zeros((0, len(FEATURES)))
+    n_texts, known = len(texts), languages != 0
+    # a link's label: the few other words of its line, if they make no sentence
+    lines = int(line[-1]) + 1
+    plain = kind == WORD
+    links, rest, functions = (_sums(x, line, lines) for x in (kind == LINK, plain, plain & known))
+    label = (links > 0) & (rest <= rule.label_words * links) & (functions * 4 < np.maximum(1, rest))
+    kind = np.where(plain & label[line], LABEL, kind)
+    size = np.bincount(text, minlength=n_texts)
+    n = np.maximum(size, 1)
+    function = (kind == KANA) | ((kind == WORD) & known)
+    content = ((kind == WORD) | (kind == LABEL)) & ~function & ~digit
+    shape = np.where(content, shape, word)
+    # occurrences of each shape in each text, in order
+    key = text * (int(shape.max()) + 1) + shape
+    order = np.argsort(key, kind="stable")
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    group = np.cumsum(new) - 1
+    total = np.bincount(group)
+    share = total / n[text[order][new]]
+    entropy = -_sums(share * np.log2(share), text[order][new], n_texts) / np.log2(np.maximum(2, n))
+    entropy[size == 1] = 1.0  # one word repeats nothing
+    wordy = order[content[order]]
+    new = np.append(True, key[wordy][1:] != key[wordy][:-1]) if len(wordy) else np.zeros(0, bool)
+    often, close = np.zeros(len(key), bool), np.zeros(len(key), bool)
+    if len(wordy):
+        often[wordy] = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] >= rule.repeats
+        close[wordy] = ~new & (np.diff(wordy, prepend=-rule.near - 1) <= rule.near)
+    structured = kind == STRUCTURED
+    # words in surroundings of repeated keywords: sums over windows by prefix sums
+    first = np.append(0, np.cumsum(size))[:-1][text]
+    at = np.arange(len(text))
+    a, z = np.maximum(first, at - rule.window), np.minimum(first + size[text], at + rule.window + 1)
+    window = lambda x: (p := np.append(0, np.cumsum(x)))[z] - p[a]
+    fn, of, co, st = map(window, (function, often, content, structured))
+    width = z - a
+    stuffed = (fn <= rule.local_function * width) & (of >= rule.local_repeated * np.maximum(co, 1)) & (co * 2 >= width) & (st <= rule.local_structured * width) & ~structured
+    linked, tagged = (kind == LINK) | (kind == LABEL), kind == TAG
+    marked = linked | tagged
+    columns = [_sums(x, text, n_texts) / n for x in (linked, tagged, stuffed & ~marked, function, often, close)] + [entropy, _sums(structured, text, n_texts) / n]
+    # by script and function words, "all" if nothing tells
+    hits = np.stack([_sums((languages >> i) & 1, text, n_texts) for i in range(len(_LANGUAGES))], axis=1)
+    best = hits.argmax(axis=1)
+    most = hits[np.arange(n_texts), best]
+    names = np.where((most >= 3) & (most >= 0.05 * n), np.array(_LANGUAGES)[best], "all")
+    names = np.where(_sums(kind == KANA, text, n_texts) > 0.1 * n, "ja", names)
+    there = np.flatnonzero(size)
+    return there, names[there].tolist(), np.stack(columns, axis=1)[there]
+
+
+def _portions(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``chars`` characters, so that memory follows neither the batch nor its longest texts."""
+    begun = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield begun, texts[begun:i]
+            begun, size = i, 0
+        size += len(text)
+    if begun < len(texts):
+        yield begun, texts[begun:]
+
+
+_POINTS = "k {kind}, lang string, " + ", ".join(f"{f} double" for f in FEATURES)
 
 
 def points(df: DataFrame, key: str, text: str, rule: Rule = Rule()) -> DataFrame:
-    """(k, lang, share, features...) of texts that are not blank."""
+    """(k, lang, features...) of texts that are not blank."""
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).filter(r"text RLIKE '\\S'")
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [point(t, rule) for t in b.column(1).to_pylist()]
-            at = [i for i, p in enumerate(found) if p is not None]
-            own = [found[i] for i in at]
-            columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array([p[0] for p in own], pa.string()), pa.array([p[2] for p in own], pa.float64())]
-            columns += [pa.array([p[1][j] for p in own], pa.float64()) for j in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays(columns, ["k", "lang", "share", *FEATURES])
+            for first, texts in _portions(b.column(1).to_pylist()):
+                at, lang, f = features(texts, rule)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + first)), pa.array(lang, pa.string()), *map(pa.array, f.T)], ["k", "lang", *FEATURES])
 
     return rows.mapInArrow(run, _POINTS.format(kind=kind))
 
@@ -268,31 +308,30 @@ def _by_language(values: dict[str, float]):
     return out
 
 
-def scores(features: np.ndarray, lang: list[str], stats: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(Mahalanobis distance, length of its spam-directed part less what points the other way)."""
-    distance, directed = np.zeros(len(lang)), np.zeros(len(lang))
-    for i, g in enumerate(lang):
+def scores(values: np.ndarray, lang: list[str], stats: dict, rule: Rule = Rule()) -> tuple[np.ndarray, np.ndarray]:
+    """(Mahalanobis distance, length of the deviation in spam-directed directions)."""
+    toward = np.zeros(values.shape)
+    names = np.asarray(lang, dtype=object)
+    for g in set(lang):
         centre, scale, white = stats.get(g) or stats["all"]
-        w = white @ ((features[i] - centre) / scale)
-        distance[i] = np.sqrt(w @ w)
-        toward = w * DIRECTION
-        against = max(0.0, -toward[-1])  # more structure than usual
-        directed[i] = np.sqrt((np.maximum(toward[:-1], 0) ** 2).sum()) - against
-    return distance, directed
+        own = names == g
+        toward[own] = ((values[own] - centre) / scale) @ white.T * DIRECTION
+    length = lambda part: np.sqrt((np.maximum(toward[:, part], 0) ** 2).sum(axis=1))
+    directed = length(DENSITY) + length(WORDING) - rule.against * np.maximum(0, -toward[:, STRUCTURE])
+    return np.sqrt((toward**2).sum(axis=1)), directed
 
 
 def suspects(df: DataFrame, key: str = "doc_id", text: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """(key, lang, distance, directed, share, spam) of every text that is not blank."""
+    """(key, lang, distance, directed, spam) of every text that is not blank."""
     found = written(points(df, key, text, rule), "spam-points")
     stats = statistics(found, rule)
     kind = found.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            features = np.column_stack([b.column(3 + j).to_numpy() for j in range(len(FEATURES))]) if b.num_rows else np.zeros((0, len(FEATURES)))
-            distance, directed = scores(features, b.column(1).to_pylist(), stats)
-            share = b.column(2).to_numpy()
-            spam = (distance > rule.distance) & (directed > rule.distance) & (share > rule.share) & (features[:, -1] <= rule.structured)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(distance), pa.array(directed), b.column(2), pa.array(spam)], ["k", "lang", "distance", "directed", "share", "spam"])
+            values = np.stack([b.column(2 + j).to_numpy() for j in range(len(FEATURES))], axis=1)
+            distance, directed = scores(values, b.column(1).to_pylist(), stats, rule)
+            spam = (distance > rule.distance) & (directed > rule.directed)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(distance), pa.array(directed), pa.array(spam)], ["k", "lang", "distance", "directed", "spam"])
 
-    return found.mapInArrow(run, f"k {kind}, lang string, distance double, directed double, share double, spam boolean").withColumnRenamed("k", key)
+    return found.mapInArrow(run, f"k {kind}, lang string, distance double, directed double, spam boolean").withColumnRenamed("k", key)

@@ -173,7 +173,52 @@ def test_pages_joined_by_dots(spark):
     }
     df = spark.createDataFrame([*spam_pages.items(), *fine.items(), *normal], "doc_id bigint, text string")
     assert sorted(r.doc_id for r in spam.suspects(df).filter("spam").collect()) == list(spam_pages)
-    assert spam._tokens("p4n!l...4d4pter...pr!!mp...10:30...sal!...sdr") == (["p4n!l", "4d4pter", "pr!!mp", "10:30", "sal!", "sdr"], ["w", "w", "w", "s", "w", "w"])
+    assert [w for w, _ in spam._read_token("p4n!l...4d4pter...pr!!mp...10:30...sal!...sdr")] == ["p4n!l", "4d4pter", "pr!!mp", "10:30", "sal!", "sdr"]
+
+
+def plain_point(text, rule=spam.Rule()):
+    """The features of one text, word by word."""
+    from collections import Counter
+    from math import log2
+
+    rows = []
+    for line in spam.re.split("[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]", text):
+        own = [list(w) for m in spam._TOKEN.finditer(line) for w in spam._read_token(m.group())]
+        links, rest = sum(k == spam.LINK for _, k in own), [w for w in own if w[1] == spam.WORD]
+        if links and len(rest) <= rule.label_words * links and sum(w in spam.ALL_WORDS for w, _ in rest) * 4 < max(1, len(rest)):
+            for w in rest:
+                w[1] = spam.LABEL
+        rows += own
+    n = len(rows)
+    if not n:
+        return None
+    function = [k == spam.KANA or (k == spam.WORD and w in spam.ALL_WORDS) for w, k in rows]
+    content = [k in (spam.WORD, spam.LABEL) and not f and not w.isdigit() for (w, k), f in zip(rows, function)]
+    shape = [spam._LEET.sub("*", w) if c and len(w) > 2 else w for (w, _), c in zip(rows, content)]
+    counts = Counter(s for s, c in zip(shape, content) if c)
+    often = [c and counts[s] >= rule.repeats for s, c in zip(shape, content)]
+    close = [c and any(content[j] and shape[j] == s for j in range(max(0, i - rule.near), i)) for i, (s, c) in enumerate(zip(shape, content))]
+    marked = [k in (spam.LINK, spam.LABEL, spam.TAG) for _, k in rows]
+    stuffed = []
+    for i in range(n):
+        w = range(max(0, i - rule.window), min(n, i + rule.window + 1))
+        fn, of, co, st = (sum(x[j] for j in w) for x in (function, often, content, [k == spam.STRUCTURED for _, k in rows]))
+        stuffed.append(fn <= rule.local_function * len(w) and of >= rule.local_repeated * max(co, 1) and 2 * co >= len(w) and st <= rule.local_structured * len(w) and rows[i][1] != spam.STRUCTURED and not marked[i])
+    entropy = 1.0 if n == 1 else -sum(c / n * log2(c / n) for c in Counter(shape).values()) / log2(n)
+    link = sum(k in (spam.LINK, spam.LABEL) for _, k in rows)
+    return [x / n for x in (link, sum(k == spam.TAG for _, k in rows), sum(stuffed), sum(function), sum(often), sum(close))] + [entropy, sum(k == spam.STRUCTURED for _, k in rows) / n]
+
+
+def test_features_of_a_batch_are_those_of_each_text(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text IS NOT NULL").collect()] + [*SPAM.values(), "", "!?", "\n", "日本のカメラ", "one"]
+    at, lang, values = spam.features(texts, vocabulary=spam.Vocabulary())
+    want = [(i, p) for i, t in enumerate(texts) if (p := plain_point(t))]
+    assert at.tolist() == [i for i, _ in want] and len(lang) == len(want)
+    for got, (i, p) in zip(values.tolist(), want):
+        assert got == pytest.approx(p, abs=1e-12), texts[i]
+    small = spam.Vocabulary(limit=5)  # begun anew for every text
+    for i, row in zip(at, values):
+        assert spam.features([texts[i]], vocabulary=small)[2][0] == pytest.approx(row, abs=1e-12)
 
 
 def test_statistics_of_rare_languages(spark):
