@@ -237,10 +237,3 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str
     first = spread.mapInArrow(leaf, f"{row}, ids array<int>").mapInArrow(joined, f"{row}, ids array<int>")
     several = laid_out(first, ["copy"], "seq").mapInArrow(whole, f"k {kind}, ids array<int>")
     return single.unionByName(several).withColumnRenamed("k", key)
-
-
-def count_tokens(df: DataFrame, key: str, text: str, keep: list[str], *, path: str | None = None, count: str = "n_tokens") -> DataFrame:
-    """(key, keep..., count): the number of tokens of each text, by the same operator."""
-    folded = df.select(F.struct(F.col(key), *keep).alias("k"), F.col(text).alias("t"))
-    out = encode(folded, "k", "t", path=path)
-    return out.select("k.*", F.size("ids").cast("bigint").alias(count))

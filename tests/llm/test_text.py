@@ -101,10 +101,10 @@ def test_mix_fills_budgets(spark):
     rows = [(k, g.choice("aaab"), 0.25 + 0.75 * g.random(), g.randint(1, 50)) for k in range(800)] + [(900, "none", 1.0, 5), (901, None, 1.0, 5)]
     sizes = spark.createDataFrame(rows, "doc_id bigint, source string, weight double, n_tokens bigint")
     targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.6, 3), ("missing", 0.1, 2), ("bad", None, 1)], "source string, target_share double, max_repeats int")
-    for bins in (1, 64):
-        m = mix.select_documents(sizes.filter("source IN ('a', 'b')"), targets, bins=bins)
+    for bin_rows in (1000, 10):
+        m = mix.select_documents(sizes.filter("source IN ('a', 'b')"), targets, bin_rows=bin_rows)
         goals = {r.source: (r.epochs, r.rest) for r in mix.plan(sizes, targets).collect()}
-        key = {r.doc_id: r.key for r in mix.keyed(sizes, 7, bins).collect()}
+        key = {r.doc_id: r.key for r in mix.keyed(sizes, 7, 1).collect()}
         assert {r.doc_id: r.uses for r in m.documents.collect()} == brute_mix([(i, s, n) for i, s, _, n in rows if s in ("a", "b")], goals, key)
         shares = {r.source: r for r in m.shares.collect()}
         assert abs(shares["a"].actual_share - 1 / 3) < 0.01 and abs(shares["b"].actual_share - 2 / 3) < 0.01
@@ -113,6 +113,27 @@ def test_mix_fills_budgets(spark):
     assert 200 < sum(r.n_tokens * r.uses for r in small.documents.collect()) <= 300
 
 
+def test_a_given_total_is_kept_and_capped_sources_reported(spark):
+    sizes = spark.createDataFrame([(k, "ab"[k % 10 == 0], 1.0, 10) for k in range(1000)], "doc_id bigint, source string, weight double, n_tokens bigint")  # a: 9000 tokens, b: 1000
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    got = lambda total: {r.source: (r.budget, r.tokens, r.capped) for r in mix.select_documents(sizes, targets, total_tokens=total).shares.collect()}
+    assert got(None) == {"a": (3000, 3000, False), "b": (3000, 3000, False)}
+    assert got(2000) == {"a": (1000, 1000, False), "b": (1000, 1000, False)}
+    assert got(12_000) == {"a": (9000, 9000, False), "b": (3000, 3000, True)}
+    assert got(10**9) == {"a": (18_000, 18_000, True), "b": (3000, 3000, True)}
+
+
+def test_quality_prefers_what_is_typical_of_its_source(spark):
+    log, prose = "10:%02d:47 INFO: log sink rotated %d", "The rotator behaved as planned in heavy rain and the crew waited %d minutes until %d."
+    docs = [(k, " ".join([(log, prose)[k % 2] % (k % 60, k)] * 3), ("log", "mail")[k % 2]) for k in range(400)]
+    docs += [(1000, prose % (7, 8), "log"), (1001, log % (5, 6), "mail")]  # mislabelled
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("log", 0.5, 2), ("mail", 0.5, 2)], "source string, target_share double, max_repeats int")
+    weight = {r.doc_id: r.weight for r in mix.sized(df, targets).collect()}
+    assert len(weight) == 402 and all(mix.LEAST < w < mix.MOST for w in weight.values())
+    assert min(w for k, w in weight.items() if k < 1000) > max(weight[1000], weight[1001]) + 0.1
+
+
 def test_mix_of_texts_with_nulls(spark):
     docs = [(1, "some words here", "a"), (2, None, "a"), (3, "", "a"), (4, "   ", None), (5, "12 34", "b"), (5, "12 34", "b")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").selectExpr("*", "1 AS n_tokens", "2 AS weight")
