@@ -10,19 +10,30 @@ repeated rows stay members each; ties of equal start keep input order by ``ordin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groundlake.functions.batches import laid_out, whole_groups
 from groundlake.functions.ordered import maximum_before, running_sums
 from groundlake.session import written
 
-ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|z|[+-]\d{2}:?\d{2}(:?\d{2})?)$"
+#: ISO 8601 with a zone, in extended or basic form
+ISO = r"^(\d{4})-?(\d{2})-?(\d{2})[^0-9](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}(?::?\d{2})?)$"
 
 
 def iso_instant(text: Column) -> Column:
-    """Timestamp of ISO text with a zone; null for text without one or that is no time."""
-    return F.when(text.rlike(ZONED), F.try_to_timestamp(F.regexp_replace(F.upper(text), ",", ".")))
+    """Timestamp of ISO text with a zone; null for text without one or that is no time. Digits beyond microseconds are cut."""
+    part = lambda k, default="": F.coalesce(F.nullif(F.regexp_extract(text, ISO, k), F.lit("")), F.lit(default))
+    zone = F.regexp_replace(F.regexp_replace(part(8), "^Z$", "+00:00"), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    zone = F.when(F.length(zone) == 4, F.concat(zone, F.lit("00"))).otherwise(zone)
+    clock = F.concat_ws(":", part(4), part(5, "00"), part(6, "00"))
+    whole = F.concat(F.concat_ws("-", part(1), part(2), part(3)), F.lit("T"), clock, F.lit("."), F.substring(part(7, "0"), 1, 6), zone)
+    return F.when(text.rlike(ISO), F.try_to_timestamp(whole))
 
 
 def observations(raw: DataFrame, start: str = "start", end: str = "end", station: str = "ground_station", id_: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -60,17 +71,23 @@ def peaks(members: DataFrame, keys: list[str]) -> DataFrame:
     return events.groupBy(*key).agg(F.greatest(F.lit(0), F.max("_n")).cast("bigint").alias("peak"))
 
 
-def windows(members: DataFrame, keys: list[str]) -> DataFrame:
-    """One row a window: start, end, duration in seconds, distinct stations, peak, members' ids by start."""
+def windows(members: DataFrame, keys: list[str], ids: bool = False) -> DataFrame:
+    """One row a window: start, end, duration in seconds, distinct stations, peak; ``ids`` adds the members' ids by start.
+
+    The list of ids is one value of a row, so it suits windows that people read; ``placed`` gives them as rows.
+    """
     key = [*keys, "window_no"]
-    each = members.groupBy(*key).agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("ground_station").alias("stations"), F.count("*").alias("n_observations"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "ordinal", "id"))), lambda x: x["id"]), ", ").alias("obs_ids"),
-    )
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "ordinal", "id"))), lambda x: x["id"]), ", ").alias("obs_ids")
+    each = members.groupBy(*key).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("ground_station").alias("stations"), F.count("*").alias("n_observations"), *([listed] if ids else []))
     each = each.withColumn("duration_s", F.floor((F.unix_micros("end") - F.unix_micros("start")) / F.lit(1_000_000)).cast("bigint"))
     return each.join(peaks(members, keys), key)
 
 
+def placed(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``member_no``, from 1 in each window by start."""
+    return running_sums(members, [*keys, "window_no"], _day("start"), ["start", "ordinal"], {"member_no": F.lit(1)})
+
+
 def filtered(found: DataFrame, least_stations: int = 1, sort: str = "time") -> DataFrame:
     """Windows with a peak of at least ``least_stations``, by time or by falling peak, then start."""
     if sort not in ("time", "stations"):
@@ -89,33 +106,77 @@ def duration_text(seconds: Column) -> Column:
     return F.concat(F.floor(whole / 60).cast("bigint").cast("string"), F.lit("m "), F.pmod(whole, F.lit(60)).cast("string"), F.lit("s"))
 
 
+FULL, CLOCK = "yyyy-MM-dd'T'HH:mm:ss", "HH:mm:ss"
+WIDTH = 80  # of dividers
+NO_WINDOWS = "(no coverage windows match the filter criteria)"
+
+
+def end_text() -> Column:
+    """The end, without its date if that is the start's."""
+    return F.when(F.to_date("start") == F.to_date("end"), F.date_format("end", CLOCK)).otherwise(F.date_format("end", FULL))
+
+
 def shown(found: DataFrame, ids: bool = False) -> DataFrame:
-    """Text columns of the summary table; the end shows its date only if it differs from the start's."""
-    stamp = F.date_format("start", "yyyy-MM-dd HH:mm:ss'Z'")
-    end = F.when(F.to_date("start") == F.to_date("end"), F.date_format("end", "HH:mm:ss'Z'")).otherwise(F.date_format("end", "yyyy-MM-dd HH:mm:ss'Z'"))
+    """Text columns of the summary table and of exports."""
     extra = [F.col("obs_ids")] if ids else []
-    return found.select(F.col("stations").alias("total_stations"), stamp.alias("window_start_utc"), end.alias("window_end_utc"), duration_text(F.col("duration_s")).alias("duration"), *extra)
+    return found.select(F.col("stations").alias("total_stations"), F.date_format("start", FULL).alias("window_start_utc"), end_text().alias("window_end_utc"), duration_text(F.col("duration_s")).alias("duration"), *extra)
+
+
+def footer_line(found: DataFrame) -> DataFrame:
+    """(line) with the totals."""
+    s = F.col("total_s")
+    total = F.concat(F.floor(s / 3600).cast("bigint").cast("string"), F.lit("h "), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("bigint").cast("string"), F.lit("m "), F.pmod(s, F.lit(60)).cast("string"), F.lit("s"))
+    return totals(found).select(F.concat(F.lit("  "), F.col("n_windows").cast("string"), F.lit(" window(s)  |  Total coverage: "), total, F.lit("  |  "), F.coalesce("max_peak", F.lit(0)).cast("string"), F.lit(" simultaneous station(s)")).alias("line"))
 
 
-def footer(found: DataFrame) -> str:
-    """One line of totals; one row comes to the driver."""
-    r = totals(found).head()
-    s = r["total_s"]
-    return f"{r['n_windows']} window(s)  |  Total coverage: {s // 3600}h {s % 3600 // 60}m {s % 60}s  |  {r['max_peak'] or 0} simultaneous station(s)"
+def summary_lines(found: DataFrame, least_stations: int = 1, sort: str = "time", ids: bool = False, title: str = "Combined Coverage Windows (UTC)") -> DataFrame:
+    """(seq, line): title, divider, table with centred cells, and footer; one line if no window is left.
+
+    The driver sees the widths of the columns. Cells are not cut.
+    """
+    kept = filtered(found, least_stations, sort)
+    order = ["start"] if sort == "time" else [F.desc("peak"), "start"]
+    names = ["Stations", "Start (UTC)", "End (UTC)", "Duration", *(["Obs IDs"] if ids else [])]
+    cells = shown(kept, ids).columns
+    text = kept.select("start", "peak", *[c.cast("string").alias(n) for n, c in zip(cells, _cells(ids), strict=True)])
+    widest = text.agg(*[F.max(F.length(c)).alias(c) for c in cells]).head()
+    if widest[0] is None:
+        return found.sparkSession.createDataFrame([(0, NO_WINDOWS)], "seq bigint, line string")
+    width = [max(len(n), widest[c]) for n, c in zip(names, cells, strict=True)]
+    rule = lambda left, fill, middle, right: left + middle.join(fill * (w + 2) for w in width) + right
+    centre = lambda v, w: (" " * -(-(w - len(v)) // 2) + v).ljust(w)
+    row = lambda values: "│ " + " ┆ ".join(map(centre, values, width)) + " │"
+    head = [title, "─" * WIDTH, rule("┌", "─", "┬", "┐"), row(names), rule("╞", "═", "╪", "╡")]
+    lead = lambda c, w: F.ceil((F.lit(w) - F.length(c)) / 2).cast("int")
+    centred = [F.rpad(F.concat(F.repeat(F.lit(" "), lead(c, w)), F.col(c)), w, " ") for c, w in zip(cells, width, strict=True)]
+    body = running_sums(text, [], _day("start") if sort == "time" else -F.col("peak"), order, {"seq": F.lit(1)})
+    body = body.select((F.col("seq") + len(head) - 1).alias("seq"), F.concat(F.lit("│ "), F.concat_ws(" ┆ ", *centred), F.lit(" │")).alias("line"))
+    lines = found.sparkSession.createDataFrame(list(enumerate(head)), "seq bigint, line string").unionByName(body)
+    last = F.lit(2**62)
+    return lines.unionByName(found.sparkSession.range(1).select(last.alias("seq"), F.lit(rule("└", "─", "┴", "┘")).alias("line"))).unionByName(footer_line(kept).select((last + 1).alias("seq"), "line"))
+
+
+def _cells(ids: bool) -> list[Column]:
+    return [F.col("stations"), F.date_format("start", FULL), end_text(), duration_text(F.col("duration_s")), *([F.col("obs_ids")] if ids else [])]
 
 
 def detail(found: DataFrame, members: DataFrame, keys: list[str], sort: str = "time") -> DataFrame:
-    """(keys, row_no, member_no, line): a header line (member_no 0) and a line for each member of each window."""
+    """(keys, row_no, member_no, line): for each group two heading lines (row_no 0), a header line (member_no 0) and a
+    line for each member of each window, and a last divider.
+    """
     order = [F.desc("peak"), "start"] if sort == "stations" else ["start"]
-    numbered = found.withColumn("row_no", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    stamp = lambda c, p: F.date_format(c, p)
-    head = F.concat_ws("  |  ", F.concat(F.lit("Window "), F.lpad(F.col("row_no").cast("string"), 3, " ")), F.concat(F.lit("up to "), F.col("peak"), F.lit(" stn (peak)")), F.concat(stamp("start", "yyyy-MM-dd HH:mm:ss'Z'"), F.lit(" -> "), stamp("end", "yyyy-MM-dd HH:mm:ss'Z'")), duration_text(F.col("duration_s")))
-    heads = numbered.select(*keys, "row_no", F.lit(0).alias("member_no"), head.alias("line"))
-    inside = members.join(numbered.select(*keys, "window_no", "row_no"), [*keys, "window_no"])
-    inside = inside.withColumn("member_no", F.row_number().over(W.partitionBy(*keys, "row_no").orderBy("start", "ordinal")))
+    numbered = running_sums(found, keys, -F.col("peak") if sort == "stations" else _day("start"), order, {"row_no": F.lit(1)})
+    numbered = numbered.withColumn("row_no", F.col("row_no").cast("int"))
+    head = F.concat_ws("  |  ", F.concat(F.lit("Window "), F.format_string("%3d", "row_no")), F.concat(F.lit("up to "), F.col("peak"), F.lit(" stn (peak)")), F.concat(F.date_format("start", FULL), F.lit(" → "), end_text()), duration_text(F.col("duration_s")))
+    heads = numbered.select(*keys, "row_no", F.lit(0).cast("bigint").alias("member_no"), head.alias("line"))
+    inside = placed(members, keys).join(numbered.select(*keys, "window_no", "row_no"), [*keys, "window_no"])
     seconds = (F.unix_micros("end") - F.unix_micros("start")) / F.lit(1_000_000)
-    line = F.concat(F.lit("Obs "), F.rpad("id", 8, " "), F.lit("  GS "), F.rpad("ground_station", 5, " "), F.lit("  "), stamp("start", "HH:mm:ss'Z'"), F.lit(" -> "), stamp("end", "HH:mm:ss'Z'"), F.lit("  ("), duration_text(seconds), F.lit(")"))
-    return heads.unionByName(inside.select(*keys, "row_no", "member_no", line.alias("line")))
+    at = lambda c: F.date_format(c, "HH:mm:ss'Z'")
+    line = F.concat(F.lit("          Obs "), F.format_string("%-8s", "id"), F.lit("  GS "), F.format_string("%-5s", "ground_station"), F.lit("  "), at("start"), F.lit(" → "), at("end"), F.lit("  ("), duration_text(seconds), F.lit(")"))
+    frame = F.array(*[F.struct(F.lit(r).alias("row_no"), F.lit(m).cast("bigint").alias("member_no"), F.lit(x).alias("line")) for r, m, x in ((0, 0, "═" * WIDTH), (0, 1, "Detailed Coverage Breakdown"), (0, 2, "─" * WIDTH), (2**31 - 1, 0, "═" * WIDTH))])
+    frames = found.select(*keys).distinct() if keys else found.sparkSession.range(1).select()
+    frames = frames.select(*keys, F.explode(frame).alias("_f")).select(*keys, "_f.*")
+    return frames.unionByName(heads).unionByName(inside.select(*keys, "row_no", "member_no", line.alias("line")))
 
 
 def steps(members: DataFrame, keys: list[str]) -> DataFrame:
@@ -129,26 +190,53 @@ def steps(members: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def leading_countries(members: DataFrame, keys: list[str], top: int = 5) -> DataFrame:
-    """(keys, event_no, countries): after each event, the ``top`` most frequent countries of active observations.
+    """(keys, event_no, t, countries): after each event, the ``top`` most frequent countries of active observations.
 
-    Each country keeps a running count over the group's events; ties go to the country that became active first.
-    Needs ``country``; its events are only as many as countries times events of a group.
+    Ties go to the country that became active first. Needs ``country``; null ones count in no list. Groups are cut into
+    days: what is active when a day begins comes from one summary row a country and day, and a day's events are then
+    counted on in order, so there is a row an event and no list of all countries is kept for each.
     """
     base = members.select(*keys, "start", "end", "ordinal", "country")
-    events = base.select(*keys, F.col("start").alias("t"), F.lit(1).alias("d"), (F.col("ordinal") * 2).alias("_o"), "country")
-    events = events.unionByName(base.select(*keys, F.col("end").alias("t"), F.lit(-1).alias("d"), (F.col("ordinal") * 2 + 1).alias("_o"), "country"))
+    both = F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(1).alias("d"), (F.col("ordinal") * 2).alias("_o")), F.struct(F.col("end").alias("t"), F.lit(-1).alias("d"), (F.col("ordinal") * 2 + 1).alias("_o"))))
+    events = base.select(*keys, "country", both.alias("_e")).select(*keys, "country", "_e.*")
     events = running_sums(events, keys, _day("t"), ["t", "_o"], {"event_no": F.lit(1)})
-    events = written(events.withColumn("event_no", F.col("event_no").cast("int")), "events")
-    of = W.partitionBy(*keys, "country").orderBy("event_no")
-    counts = events.filter("country IS NOT NULL").withColumn("n", F.greatest(F.lit(0), F.sum("d").over(of.rowsBetween(W.unboundedPreceding, 0))))
-    counts = counts.withColumn("_fresh", F.when((F.col("n") == 1) & (F.col("d") == 1), F.col("event_no")))
-    counts = counts.withColumn("since", F.last("_fresh", ignorenulls=True).over(of.rowsBetween(W.unboundedPreceding, 0)))
-    counts = counts.withColumn("until", F.coalesce(F.lead("event_no").over(of) - 1, F.lit(2**31 - 1)))
-    last = events.groupBy(*keys).agg(F.max("event_no").alias("_end"))
-    spans = counts.filter("n > 0").join(last, keys).select(*keys, "country", "n", "since", F.explode(F.sequence("event_no", F.least("until", "_end").cast("int"))).alias("event_no"))
-    ranked = spans.withColumn("_r", F.row_number().over(W.partitionBy(*keys, "event_no").orderBy(F.desc("n"), "since"))).filter(F.col("_r") <= top)
-    text = ranked.groupBy(*keys, "event_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "country", "n"))), lambda x: F.concat(x["country"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", ").alias("countries"))
-    return events.select(*keys, "event_no", "t").join(text, [*keys, "event_no"], "left").withColumn("countries", F.coalesce("countries", F.lit("(none)")))
+    events = written(events.select(*keys, "country", "t", "d", F.col("event_no").cast("int").alias("event_no"), _day("t").alias("_day")), "events")
+    known = running_sums(events.filter("country IS NOT NULL"), [*keys, "country"], F.col("_day"), ["event_no"], {"_n": F.col("d")})
+    state = known.groupBy(*keys, "country", "_day").agg(F.max_by("_n", "event_no").alias("_n"), F.max(F.when((F.col("_n") == 1) & (F.col("d") == 1), F.col("event_no"))).alias("_since"))
+    of = W.partitionBy(*keys, "country").orderBy("_day")
+    state = state.withColumn("_since", F.max("_since").over(of.rowsBetween(W.unboundedPreceding, 0))).withColumn("_until", F.lead("_day").over(of))
+    days = events.groupBy(*keys).agg(F.array_sort(F.collect_set("_day")).alias("_days"))
+    s, g = state.filter("_n > 0").alias("s"), days.alias("g")
+    later = F.filter("_days", lambda x: (x > F.col("s._day")) & (x <= F.coalesce(F.col("s._until"), x)))
+    carried = s.join(g, [F.col(f"s.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]).select(*[f"s.{k}" for k in keys], "s.country", "s._n", "s._since", F.explode(later).alias("_day"))
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = events.select(*keys, "_day", "event_no", "t", "country", "d", F.lit(0).cast("int").alias("_since"))
+    rows = rows.unionByName(carried.select(*keys, "_day", F.lit(0).cast("int").alias("event_no"), none("t"), "country", F.col("_n").cast("int").alias("d"), F.col("_since").cast("int").alias("_since")))
+    group = [*keys, "_day"]
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, group):
+            number, country, change, since = (table.column(c).to_pylist() for c in ("event_no", "country", "d", "_since"))
+            begins, at, text = set(map(int, starts)), [], []
+            for i in range(table.num_rows):
+                if i in begins:
+                    active: dict[str, tuple[int, int]] = {}  # -count and first event, so that the least comes first
+                c = country[i]
+                if not number[i]:
+                    active[c] = (-change[i], since[i])
+                    continue
+                if c is not None:
+                    n, first = active.pop(c, (0, number[i]))
+                    if n - change[i] < 0:
+                        active[c] = (n - change[i], first)
+                at.append(i)
+                text.append(", ".join(f"{k} ({-n})" for k, (n, _) in nsmallest(top, active.items(), key=lambda x: x[1])) or "(none)")
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(take) for c in (*keys, "event_no", "t")], pa.array(text, pa.string())], [*keys, "event_no", "t", "countries"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "event_no", "t")) + ", countries string"
+    return laid_out(rows, group, "event_no", "_since").mapInArrow(lists, schema)
 
 
 def wait_text(micros: Column) -> Column:
@@ -162,12 +250,25 @@ def wait_text(micros: Column) -> Column:
     return F.concat(day, clock, fine, F.when(micros < 0, F.lit(" ago")).otherwise(""))
 
 
-def display_rows(raw: DataFrame, uplink_end: Column) -> DataFrame:
-    """Observation rows for a table: readable times, their raw text where they can't be read, and the wait."""
+def local_text(at: Column, zone: str) -> Column:
+    """ISO text of the local time in a zone, with its offset, to the second."""
+    local = F.from_utc_timestamp(at, zone)
+    minutes = ((F.unix_seconds(local) - F.unix_seconds(at)) / 60).cast("int")
+    offset = F.concat(F.when(minutes < 0, "-").otherwise("+"), F.lpad(F.floor(F.abs(minutes) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(F.abs(minutes), F.lit(60)).cast("string"), 2, "0"))
+    return F.concat(F.date_format(local, FULL), offset)
+
+
+def display_rows(raw: DataFrame, uplink_end: Column, zone: str = "UTC", country: str | None = None) -> DataFrame:
+    """Observation rows for a table: readable times in UTC and ``zone``, their raw text where they can't be read, and the wait."""
     start, end = (iso_instant(F.col(c)) for c in ("start", "end"))
     text = lambda t, c: F.coalesce(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.col(c), F.lit("?"))
+    local = lambda t: F.coalesce(local_text(t, zone), F.lit("?"))
     wait = F.when(start.isNotNull() & uplink_end.isNotNull(), wait_text(F.unix_micros(start) - F.unix_micros(uplink_end))).otherwise("N/A")
-    return raw.select(F.coalesce(F.col("id").cast("string"), F.lit("?")).alias("id"), F.coalesce(F.col("ground_station").cast("string"), F.lit("?")).alias("ground_station"), text(start, "start").alias("start_utc"), text(end, "end").alias("end_utc"), wait.alias("wait"))
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("?"))
+    return raw.select(
+        known("id").alias("id"), known("ground_station").alias("ground_station"), (known(country) if country else F.lit("?")).alias("country"),
+        text(start, "start").alias("start_utc"), text(end, "end").alias("end_utc"), local(start).alias("start_local"), local(end).alias("end_local"), wait.alias("wait"),
+    )
 
 
 def info_text(country: Column | None = None) -> Column:
@@ -177,12 +278,12 @@ def info_text(country: Column | None = None) -> Column:
     return F.concat_ws(" | ", F.concat(F.lit("Observation "), q("id")), place, F.concat(F.lit("Observer: "), q("observer")))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, lat: str, lng: str, code: str = "code", cell_degrees: float = 5.0) -> DataFrame:
+def nearest_place(points: DataFrame, places: DataFrame, lat: str, lng: str, code: str = "code", cell_degrees: float = 5.0, most_places: int = 200_000) -> DataFrame:
     """Adds ``code`` of the nearest place (place_lat, place_lng, code) by great-circle distance, ties by code.
 
     Distinct coordinates are looked up once. Places are gathered by grid cell: a point meets the places of its own
     and the neighbouring cells, and points that could have a nearer place further away, or none at all, are then
-    held against all places; ``places`` is a fixed gazetteer of bounded size, so that side is small.
+    held against all places, a broadcast gazetteer of at most ``most_places``.
     """
     asked = points.select(F.col(lat).alias("_lat"), F.col(lng).alias("_lng")).filter("_lat IS NOT NULL AND _lng IS NOT NULL").distinct()
     rad = F.radians
@@ -201,6 +302,16 @@ def nearest_place(points: DataFrame, places: DataFrame, lat: str, lng: str, code
     sure = F.col("_best._far") <= size * F.cos(rad(F.least(F.lit(90.0), F.abs("_lat") + cell_degrees))) * 0.9
     settled = first.filter(sure)
     rest = asked.join(settled.select("_lat", "_lng"), ["_lat", "_lng"], "left_anti")
-    exhaustive = best(rest.withColumn("_k", F.lit(1)).join(known.withColumn("_k", F.lit(1)), "_k"))
-    found = settled.unionByName(exhaustive).select("_lat", "_lng", F.col("_best._code").alias(code))
-    return points.join(found, (points[lat] == found["_lat"]) & (points[lng] == found["_lng"]), "left").drop("_lat", "_lng")
+    if known.limit(most_places + 1).count() > most_places:
+        raise ValueError(f"a gazetteer of more than {most_places} places")
+    exhaustive = best(rest.crossJoin(F.broadcast(known)))
+    found = settled.unionByName(exhaustive).select("_lat", "_lng", F.col("_best._code").alias(code), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_salt"))
+    salted = points.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(16)).cast("int"))  # one place may have most points
+    joined = salted.join(found, (salted[lat] == found["_lat"]) & (salted[lng] == found["_lng"]) & (salted["_salt"] == found["_salt"]), "left")
+    return joined.drop(salted["_salt"]).drop("_lat", "_lng", "_salt")
+
+
+def with_country(points: DataFrame, places: DataFrame, names: DataFrame, lat: str, lng: str) -> DataFrame:
+    """Adds ``country``, the name of the nearest place's country; null without coordinates or a name."""
+    found = nearest_place(points, places, lat, lng)
+    return found.join(names.select("code", "country"), "code", "left").drop("code")
