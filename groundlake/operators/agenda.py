@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from groundlake.functions.commands import FORBIDDEN, pass_command, priority_parts, sheet_command, tagged
 from groundlake.functions.ordered import running_sums
+from groundlake.session import written
 
 STEP_MS = 1000  # fixed value: tssent distance of successive commands
 
@@ -31,6 +33,7 @@ class PassPlan:
     command_ms: int = 2_000
     priority_every: int = 50
     satellite: str = ""
+    mission: str = ""  # stands in the agenda's title
     next_hours: float = 24.0
 
     @property
@@ -39,8 +42,29 @@ class PassPlan:
 
 
 def upcoming(passes: DataFrame, keys: list[str], plan: PassPlan) -> DataFrame:
-    """Passes (keys, id, start_ms, end_ms) that begin after the uplink, one row an id: an id twice is one pass."""
-    return passes.filter((F.col("start_ms") > plan.uplink_end_ms) & (F.col("end_ms") >= F.col("start_ms"))).groupBy(*keys, "id").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    """Passes (keys, id, start_ms, end_ms, ...) that begin after the uplink; reversed ones are left out."""
+    return passes.filter((F.col("start_ms") > plan.uplink_end_ms) & (F.col("end_ms") >= F.col("start_ms")))
+
+
+def pass_changes(passes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, t_ms, start_ms, kind, d, ...): a row for each AOS and LOS with the change ``d`` of passes in sight.
+
+    An id is in sight or not: an AOS of one in sight adds nothing, and its next LOS ends all passes of that id. Ties by
+    time keep the order of passes by start and id, an AOS before its own LOS.
+    """
+    more = [c for c in passes.columns if c not in (*keys, "id", "start_ms", "end_ms")]
+    ends = F.explode(F.array(F.struct(F.col("start_ms").alias("t_ms"), F.lit(0).alias("_k"), F.lit("AOS").alias("kind")), F.struct(F.col("end_ms").alias("t_ms"), F.lit(1).alias("_k"), F.lit("LOS").alias("kind"))))
+    both = passes.select(*keys, "id", "start_ms", *more, ends.alias("_e")).select(*keys, "id", "start_ms", *more, "_e.*")
+    last = F.lag("kind").over(W.partitionBy(*keys, "id").orderBy("t_ms", "start_ms", "_k"))
+    fresh = F.coalesce(last, F.lit("LOS")) != F.col("kind")
+    return both.withColumn("d", F.when(fresh, F.when(F.col("kind") == "AOS", 1).otherwise(-1)).otherwise(0))
+
+
+def sights(passes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, start_ms, end_ms): the spans in which each id is in sight."""
+    changes = pass_changes(passes, keys).filter("d <> 0")
+    until = F.lead("t_ms").over(W.partitionBy(*keys, "id").orderBy("t_ms", "start_ms", "_k"))
+    return changes.select(*keys, "id", "kind", F.col("t_ms").alias("start_ms"), until.alias("end_ms")).filter("kind = 'AOS'").drop("kind")
 
 
 def active_ticks(passes: DataFrame, keys: list[str], block_ms: int) -> DataFrame:
@@ -91,7 +115,7 @@ def injections(commands: DataFrame, keys: list[str], plan: PassPlan) -> DataFram
     listed = priority_lines(plan)
     if not listed:
         return commands.filter(F.lit(False)).select(*keys, "n", F.lit(0).alias("position"), "line")
-    array = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("command"), F.lit(s).cast("bigint").alias("sent")) for i, (c, s) in enumerate(listed)])
+    array = _numbered(listed)
     at = commands.filter((F.col("n") > 0) & (F.col("n") % plan.priority_every == 0)).select(*keys, "n")
     each = at.select(*keys, "n", F.explode(array).alias("_c")).select(*keys, "n", "_c.*")
     core, executed = priority_parts(F.col("command"))
@@ -100,68 +124,82 @@ def injections(commands: DataFrame, keys: list[str], plan: PassPlan) -> DataFram
     return remark.unionByName(lines)
 
 
-def pass_events(passes: DataFrame, keys: list[str], info: DataFrame | None = None) -> DataFrame:
+def pass_events(passes: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t_ms, ordinal, line): AOS and LOS remarks with the number of stations in sight after each.
 
-    Ties by time keep the order of ids with a start before its own end. ``info`` (keys, id, info) adds a text.
+    ``passes`` may have ``info``, the text about an observation; without it the id stands there.
     """
-    rows = passes.withColumn("info", F.concat(F.lit("Observation "), F.col("id").cast("string")))
-    if info is not None:
-        rows = passes.join(info, [*keys, "id"], "left")
-    both = rows.select(*keys, "id", "info", F.explode(F.array(F.struct(F.col("start_ms").alias("t_ms"), F.lit(1).alias("d"), F.lit("AOS").alias("kind")), F.struct(F.col("end_ms").alias("t_ms"), F.lit(-1).alias("d"), F.lit("LOS").alias("kind")))).alias("_e"))
-    both = both.select(*keys, "id", "info", "_e.*", F.when(F.col("_e.d") == 1, 0).otherwise(1).alias("_k"))
+    rows = passes if "info" in passes.columns else passes.withColumn("info", F.concat(F.lit("Observation "), F.col("id").cast("string")))
     day = F.floor(F.col("t_ms") / F.lit(86_400_000)).cast("bigint")
-    both = running_sums(both, keys, day, ["t_ms", "id", "_k"], {"ordinal": F.lit(1), "in_sight": F.col("d")})
+    both = running_sums(pass_changes(rows, keys), keys, day, ["t_ms", "start_ms", "id", "_k", F.desc(F.abs("d"))], {"ordinal": F.lit(1), "in_sight": F.col("d")})
     at = F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd HH:mm:ss 'UTC'")
     line = F.concat_ws(" | ", F.concat(F.lit("# "), F.col("kind")), at, F.col("info"), F.concat(F.col("in_sight").cast("string"), F.lit(" station(s) in sight")))
     return both.select(*keys, "t_ms", "ordinal", line.alias("line"))
 
 
-def pass_header(spark: SparkSession, plan: PassPlan, n_passes: int, generated: str) -> DataFrame:
-    """(position, line) of the remarks on top; ``generated`` is given so that results can be repeated."""
+_UTC = "yyyy-MM-dd HH:mm:ss 'UTC'"
+
+
+def pass_header(passes: DataFrame, keys: list[str], plan: PassPlan, generated: str) -> DataFrame:
+    """(keys, position, line): remarks on top of each group's agenda; ``generated`` is given so that results can be repeated."""
     at = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")  # noqa: E731, UP017
-    lines = [
-        "# CTS-SAT-1 Command Agenda", f"# Satellite NORAD ID: {plan.satellite}",
+    #: fixed values: the remarks' texts
+    before = [
+        f"# {plan.mission} Command Agenda", f"# Satellite NORAD ID: {plan.satellite}",
         f"# Uplink window: {at(plan.uplink_start_ms)} -> {at(plan.uplink_end_ms)} ({plan.uplink_minutes:.1f} min)",
-        f"# Observation fetch window end: {plan.next_hours} hrs after uplink", f"# Generated at: {generated}", f"# Valid observations: {n_passes}",
+        f"# Observation fetch window end: {plan.next_hours} hrs after uplink", f"# Generated at: {generated}",
+    ]
+    after = [
         f"# Time between loop command blocks: {plan.block_ms / 1000:.1f} s", f"# Time between commands in a loop block: {plan.command_ms / 1000:.1f} s",
         f"# Priority command injection interval: every {plan.priority_every} loop commands",
         f"# Loop commands ({len(plan.loop_commands)}):", *[f"#   {c}" for c in plan.loop_commands],
         f"# Priority commands ({len(plan.priority_commands)}):", *[f"#   {c}" for c in plan.priority_commands], "",
     ]
-    return spark.createDataFrame(list(enumerate(lines)), "position int, line string")
+    counts = passes.groupBy(*keys).agg(F.count("*").alias("_n"))
+    lines = F.array(*[F.lit(x) for x in before], F.concat(F.lit("# Valid observations: "), F.col("_n").cast("string")), *[F.lit(x) for x in after])
+    return counts.select(*keys, F.posexplode(lines).alias("position", "line"))
 
 
-def pass_agenda(passes: DataFrame, keys: list[str], plan: PassPlan) -> DataFrame:
-    """(keys, phase, a, b, c, line): the timeline of each group; order by the keys, then phase, a, b, c.
+def _numbered(commands: list[str]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("command"), F.lit(s).cast("bigint").alias("sent")) for i, (c, s) in enumerate(commands)])
 
-    Phase 0 holds the priority commands, phase 1 remarks and commands by time: a remark comes with the first tick at
-    or after its time (whether a pass is active then or not) and so before any command that is later.
+
+def pass_agenda(passes: DataFrame, keys: list[str], plan: PassPlan, generated: str = "") -> DataFrame:
+    """(keys, phase, a, b, c, line): the whole agenda of each group; order by the keys, then phase, a, b, c.
+
+    Phase 0 holds the remarks on top, 1 the priority commands below their heading, 2 the timeline's heading, 3 remarks
+    and commands by time: a remark comes with the first tick at or after its time (whether a pass is active then or
+    not) and so before any command that is later. A group without a pass after the uplink has no agenda.
     """
-    first = upcoming(passes, keys, plan)
-    ticks = active_ticks(first, keys, plan.block_ms)
-    commands = loop_commands(ticks, keys, plan)
-    groups = first.select(*keys).distinct()
-    head = groups
+    first = written(upcoming(passes, keys, plan), "passes")  # each is read several times below
+    commands = written(loop_commands(active_ticks(sights(first, keys), keys, plan.block_ms), keys, plan), "commands")
+    long = lambda c: F.lit(c).cast("bigint") if isinstance(c, int) else c.cast("bigint")
+    row = lambda df, phase, a, b, c, line: df.select(*keys, F.lit(phase).alias("phase"), long(a).alias("a"), long(b).alias("b"), (F.lit(c) if isinstance(c, int) else c.cast("int")).alias("c"), line.alias("line"))
+    parts = [row(pass_header(first, keys, plan, generated), 0, F.col("position"), 0, 0, F.col("line"))]
+    groups = first.groupBy(*keys).agg(F.min("start_ms").alias("_first"))
     listed = priority_lines(plan)
-    array = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("command"), F.lit(s).cast("bigint").alias("sent")) for i, (c, s) in enumerate(listed)]) if listed else None
-    parts = []
-    if array is not None:
-        each = head.select(*keys, F.explode(array).alias("_c")).select(*keys, "_c.*")
+    if listed:
+        each = groups.select(*keys, F.explode(_numbered(listed)).alias("_c")).select(*keys, "_c.*")
         core, executed = priority_parts(F.col("command"))
-        parts.append(each.select(*keys, F.lit(0).alias("phase"), F.col("position").cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"), F.lit(0).alias("c"), pass_command(core, F.col("sent"), executed).alias("line")))
-    events = pass_events(first, keys)
-    parts.append(events.select(*keys, F.lit(1).alias("phase"), F.col("t_ms").alias("a"), (F.col("ordinal") - F.lit(2**40)).alias("b"), F.lit(0).alias("c"), "line"))
+        parts.append(row(each, 1, F.col("position"), 0, 0, pass_command(core, F.col("sent"), executed)))
+        frame = F.explode(F.array(F.struct(F.lit(-1).alias("p"), F.lit("# PRIORITY COMMANDS").alias("line")), F.struct(F.lit(len(listed)).alias("p"), F.lit("").alias("line"))))
+        parts.append(row(groups.select(*keys, frame.alias("_f")).select(*keys, "_f.*"), 1, F.col("p"), 0, 0, F.col("line")))
+    started = F.array(F.concat(F.lit("# Timeline start: "), F.date_format(F.timestamp_millis("_first"), _UTC)), F.lit(""))
+    parts.append(row(groups.select(*keys, F.posexplode(started).alias("p", "line")), 2, F.col("p"), 0, 0, F.col("line")))
+    parts.append(row(pass_events(first, keys), 3, F.col("t_ms"), F.col("ordinal") - F.lit(2**40), 0, F.col("line")))
     times = commands.select(*keys, "n", "t_ms")
-    extra = injections(commands, keys, plan)
-    e, t = extra.alias("e"), times.alias("t")
+    e, t = injections(commands, keys, plan).alias("e"), times.alias("t")
     placed = e.join(t, [*[F.col(f"e.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], F.col("e.n") == F.col("t.n")]).select("e.*", "t.t_ms")
-    parts.append(placed.select(*keys, F.lit(1).alias("phase"), F.col("t_ms").alias("a"), (F.col("n") * 2).alias("b"), "position", "line").withColumnRenamed("position", "c"))
-    parts.append(commands.select(*keys, F.lit(1).alias("phase"), F.col("t_ms").alias("a"), (F.col("n") * 2 + 1).alias("b"), F.lit(0).alias("c"), "line"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts.append(row(placed, 3, F.col("t_ms"), F.col("n") * 2, F.col("position"), F.col("line")))
+    parts.append(row(commands, 3, F.col("t_ms"), F.col("n") * 2 + 1, 0, F.col("line")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def lines_in_order(agenda: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line_no, line): an agenda's lines with their places from 1, without a task for a whole agenda."""
+    day = F.when(F.col("phase") == 3, F.floor(F.col("a") / F.lit(86_400_000))).otherwise(F.lit(-(2**40))).cast("bigint")
+    out = running_sums(written(agenda.withColumn("_day", day), "agenda"), keys, F.col("_day"), ["phase", "a", "b", "c"], {"line_no": F.lit(1)})
+    return out.select(*keys, F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
 def forbidden(agenda: DataFrame) -> DataFrame:
@@ -177,14 +215,19 @@ def checked(agenda: DataFrame) -> DataFrame:
 # -- Sheets ---------------------------------------------------------------------------------------------------------
 
 
+CLOCK = r"^(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?$"
+
+
 def clock_time(value: Column, mission_date: Column, mission_start: Column) -> Column:
     """Epoch milliseconds of a time of day on the mission date, a day later if that is before the mission's start.
 
     ``past`` and 0 are the epoch; null, empty and ``nan`` are null; other text raises. ``mission_start`` in ms.
     """
     text = F.trim(value)
-    clock = F.coalesce(F.try_to_timestamp(F.concat(mission_date.cast("string"), F.lit(" "), text), F.lit("yyyy-MM-dd H:mm:ss")), F.try_to_timestamp(F.concat(mission_date.cast("string"), F.lit(" "), text), F.lit("yyyy-MM-dd H:mm")))
-    ms = F.unix_millis(clock)
+    part = lambda k: F.coalesce(F.nullif(F.regexp_extract(text, CLOCK, k), F.lit("")), F.lit("0")).cast("int")
+    h, m, s = part(1), part(2), part(3)
+    midnight = F.unix_millis(F.try_to_timestamp(mission_date.cast("string"), F.lit("yyyy-MM-dd")))
+    ms = F.when(text.rlike(CLOCK) & (h < 24) & (m < 60) & (s < 60), midnight + ((h * 60 + m) * 60 + s) * 1000)
     placed = F.when(ms < mission_start, ms + 86_400_000).otherwise(ms)
     zero = (F.lower(text) == "past") | F.coalesce(text.try_cast("double") == 0, F.lit(False))
     bad = F.raise_error(F.concat(F.lit("no time of day: "), text)).cast("bigint")
@@ -250,9 +293,10 @@ def scattered(ordered: DataFrame, loose: DataFrame, keys: list[str], loose_keys:
 
     Every row draws a uniform number by hash; the k-th smallest draw of the ordered rows goes to its k-th row, and
     the order of all draws is the interleaving. Ranks come from blocks, ``block`` for the order of ``keys`` (it must
-    not fall along it), so no task orders the whole agenda.
+    not fall along it) and equal parts of the draws, as many as the rows need, so no task orders the whole agenda.
     """
-    bits, part = 52, F.shiftright(F.col("_u"), 40)
+    bits = 52
+    part = F.floor(F.col("_u") / F.lit(2**bits) * max(1, ordered.count() // 4096)).cast("bigint")
     draw = lambda tag, *c: F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), *c), F.lit(2**bits))
     lines = running_sums(ordered, [], block, keys, {"_k": F.lit(1)})
     draws = running_sums(lines.select(draw("ordered", F.col("_k")).alias("_u"), F.col("_k").alias("_of")), [], part, ["_u", "_of"], {"_k": F.lit(1)})
@@ -289,16 +333,17 @@ def chunk_command(mode: str, target: Column) -> Column:
     raise ValueError("mode: bulk_uplink_b64, bulk_uplink_hex or write_file_hex")
 
 
-def file_uplink(files: DataFrame, keys: list[str], content: str, target: str, *, mode: str = "bulk_uplink_b64", size: int = 96, hash_count: int = 30, tssent_start_ms: int | None = None, tssent_step_ms: int = 1000, tsexec_start_ms: int | None = None, tsexec_step_ms: int = 30_000) -> DataFrame:
+def file_uplink(files: DataFrame, keys: list[str], content: str, target: str, *, mode: str = "bulk_uplink_b64", size: int = 96, hash_count: int = 30, tssent_start_ms: int | None = None, tssent_step_ms: int = 1000, tsexec_start_ms: int | None = None, tsexec_step_ms: int = 30_000, name: str | None = None, given: dict[str, object] | None = None) -> DataFrame:
     """(keys, phase, step, line) of the commands that write each file, in order of phase and step, then its checksum.
 
     Phases: 0 close, 1 setting (executed at once), 2 open, 3 data, 4 close, 5 checksum requests, 6 remark. Times
     advance by command; the setting takes no execution time. A command's number follows from the chunk count, so
-    nothing is ordered to number it.
+    nothing is ordered to number it. Phase 6 holds the file's checksum and, if ``name`` gives the column of file names,
+    the arguments; ``given`` replaces the start times in these by the texts they were given as.
     """
     bulk = mode != "write_file_hex"
     to = F.col(target)
-    base = files.select(*keys, to, F.length(content).alias("_n"), F.sha2(F.col(content), 256).alias("_sha"))
+    base = files.select(*keys, *([] if target in keys else [to]), F.length(content).alias("_n"), F.sha2(F.col(content), 256).alias("_sha"), *([F.col(name).alias("_name")] if name else []))
     n_chunks = F.ceil(F.col("_n") / F.lit(size)).cast("bigint")
     fixed = lambda phase, step, text, index: F.struct(F.lit(phase).alias("phase"), step.cast("bigint").alias("step"), text.alias("command"), index.cast("bigint").alias("index"))
     zero = F.lit(0)
@@ -325,7 +370,22 @@ def file_uplink(files: DataFrame, keys: list[str], content: str, target: str, *,
     executed = F.lit(None).cast("bigint") if not tsexec_start_ms else F.when(F.col("phase") != 1, F.lit(tsexec_start_ms) + turn * tsexec_step_ms)
     rows = rows.select(*keys, "phase", "step", tagged(F.col("command"), sent, executed).alias("line"))
     remark = F.concat(F.lit("# SHA256 of input file: "), F.col("_sha"), F.lit(" ("), F.format_number("_n", 0), F.lit(" bytes)"))
-    return rows.unionByName(base.select(*keys, F.lit(6).alias("phase"), zero.cast("bigint").alias("step"), remark.alias("line")))
+    remarks = [remark]
+    if name:
+        said = {"tssent_start_val": tssent_start_ms, "tsexec_start_val": tsexec_start_ms} | (given or {})
+        arguments = {"input_file.name": F.col("_name"), "satellite_file": to, "chunk_size": size, "tssent_start_val": said["tssent_start_val"], "tssent_interval_ms": tssent_step_ms, "tsexec_start_val": said["tsexec_start_val"], "tsexec_interval_ms": tsexec_step_ms, "mode": mode}
+        remarks += [F.lit("# Generated with arguments:"), *[F.concat(F.lit(f"#   {k}="), v if isinstance(v, Column) else F.lit(str(v))) for k, v in arguments.items()]]
+    return rows.unionByName(base.select(*keys, F.lit(6).alias("phase"), F.posexplode(F.array(*remarks)).alias("step", "line")).withColumn("step", F.col("step").cast("bigint")))
+
+
+def instant_argument(value: int | str | None) -> int | None:
+    """Epoch milliseconds of an argument: a number counts epoch seconds, a text must be ISO 8601 with a zone."""
+    if value is None or isinstance(value, int):
+        return None if value is None else value * 1000
+    at = datetime.fromisoformat(value)
+    if at.tzinfo is None:
+        raise ValueError(f"give a zone in {value!r}")
+    return int(at.timestamp() * 1000)
 
 
-__all__ = ["PassPlan", "active_ticks", "checked", "chunks", "clock_time", "file_uplink", "forbidden", "injections", "loop_commands", "pass_agenda", "pass_events", "pass_header", "repeated", "scattered", "sheet_agenda", "span_us", "stepped", "upcoming", "whole_number"]
+__all__ = ["PassPlan", "active_ticks", "checked", "chunks", "clock_time", "file_uplink", "forbidden", "injections", "instant_argument", "lines_in_order", "loop_commands", "pass_agenda", "pass_changes", "pass_events", "pass_header", "repeated", "scattered", "sheet_agenda", "sights", "span_us", "stepped", "upcoming", "whole_number"]

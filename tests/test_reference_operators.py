@@ -12,7 +12,7 @@ from groundlake.operators import agenda, decode
 from groundlake.sources import observations, packets, sheets
 
 
-def beacon(kind=1, message=b"Hello from CTS-SAT-1"):
+def beacon(kind=1, message=b"Hello from orbit"):
     fixed = struct.pack("<B4sBBIIQBBHHIBBIHHBhhiIiiiiiBBBBBBBB", kind, b"CTS1", 1, 0, 5000, 0, 1700000000000, 1, 1, 2, 0, 7, 1, 9, 60, 0, 4000, 80, 2500, -2600, 3, 0x80000001, 500, 450, 490, -440, 2000, 4, 2, 1, 0, 0, 0, 1, 2)
     assert len(fixed) == 84
     return fixed + message.ljust(42, b"\0") + (b"END\0" if kind == 1 else b" X2\0")
@@ -27,7 +27,7 @@ def test_golden_packets(spark, engine):
     assert [got[k]["packet_type"] for k in range(1, 11)] == ["BEACON_BASIC", "BEACON_EXTENDED", "LOG_MESSAGE", "TCMD_RESPONSE", "BULK_FILE_DOWNLINK", "BEACON_PERIPHERAL", "UNKNOWN", "BEACON_BASIC", None, None]
     b = got[1]
     assert (b["satellite_name"], b["uptime_sec"], b["utc_time"], b["eps_mode"], b["eps_reset_cause"]) == ("CTS1", 5.0, "2023-11-14T22:13:20+00:00Z", "NOMINAL", "UNKNOWN(9)")
-    assert (b["eps_battery_voltage_V"], b["eps_battery_temperature_1_C"], b["eps_enabled_channels_bitfield"], b["eps_total_avg_pcu_power_output_W"], b["friendly_message"]) == (4.0, -26.0, "0x80000001", -4.4, "Hello from CTS-SAT-1")
+    assert (b["eps_battery_voltage_V"], b["eps_battery_temperature_1_C"], b["eps_enabled_channels_bitfield"], b["eps_total_avg_pcu_power_output_W"], b["friendly_message"]) == (4.0, -26.0, "0x80000001", -4.4, "Hello from orbit")
     x = got[2]
     assert (x["end_version_number"], x["mpi_last_temperature_C"], x["eps_battery_pack_status_bitfield"], x["adcs_magnetic_field_y_uT"], x["adcs_raw_css_9"]) == (" X2", -99, "0x8000", -1.0, 90)
     assert x["adcs_attitude_estimation_mode"].startswith("1 - MEMS") and json.loads(x["adcs_enabled"]) == [n for k, n in decode.L.STATE_BITS["adcs_enabled"].items() if (0x060504030201 >> k) & 1]
