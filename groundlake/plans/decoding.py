@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from groundlake import layouts as L
 from groundlake.functions.binary import SIZES
+from groundlake.functions.ordered import running_sums
 from groundlake.operators import decode, rejects
+from groundlake.plans import problems
 from groundlake.plans.tables import table
 
 
@@ -81,6 +83,23 @@ def crc_summary(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(decode.packet_kind().alias("packet_type")).agg(F.count("*").alias("n"), F.count_if("csp_crc_valid").alias("n_valid"))
 
 
+#: columns of the table beacon, which holds decoded beacons of its own: what decoding must give, with their scale
+FIELDS = {
+    "packet_type": None, "satellite_name": None, "uptime_ms": None, "unix_epoch_time_ms": None, "last_time_sync_source": None, "total_beacon_count_since_boot": None, "eps_mode": None, "eps_battery_percent": None, "eps_total_fault_count": None,
+    "reboot_reason": None, "cts1_operation_state": None, "friendly_message": None, "eps_battery_voltage_V": ("eps_battery_voltage_mv", 1000), "eps_battery_temperature_0_C": ("eps_battery_temperature_0_cc", 100), "eps_battery_temperature_1_C": ("eps_battery_temperature_1_cc", 100), "obc_temperature_C": ("obc_temperature_cc", 100),
+}
+
+
+def beacon_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """The decoded fields of the packets that the table beacon lists, null where it lost the reading."""
+    known = table(spark, folder, "beacon").alias("b")
+    found = _decoded(spark, folder, "arrow", list(FIELDS)).alias("p")
+    names = {n: f[0] if f else n for n, f in FIELDS.items()}
+    value = lambda n, f: F.round(F.col(f"p.{n}") * f[1]).cast("int") if f else F.col(f"p.{n}")
+    out = known.join(found, F.col("b.packet_id") == F.col("p.packet_id"))
+    return _typed(out.select("b.beacon_id", *[F.when(F.col(f"b.{names[n]}").isNotNull(), value(n, f)).alias(names[n]) for n, f in FIELDS.items()]))
+
+
 def hex_packets(spark: SparkSession, folder: str) -> DataFrame:
     """Packets of the text exports, split into header and payload and tagged."""
     lines = rejects.loaded(rejects.parse_lines(table(spark, folder, "packet_line")))
@@ -94,11 +113,14 @@ def last_beacon(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def decoded_by_receipt(spark: SparkSession, folder: str) -> DataFrame:
-    """The whole decoded table in canonical column order, latest first."""
-    return decode.by_receipt(_decoded(spark, folder))
+    """The whole decoded table in canonical column order with each row's place, latest first, rows without a time before all."""
+    rows = decode.from_archive(table(spark, folder, "packet"), "packet_id")
+    late_first = F.coalesce(-F.unix_micros(F.col("received_timestamp").cast("timestamp")), F.lit(-(2**62)))
+    placed = running_sums(rows.withColumn("_late", late_first), [], F.floor(F.col("_late") / F.lit(86_400_000_000)), ["_late", "packet_id"], {"place": F.lit(1)})
+    return decode.by_receipt(_typed(decode.decode(placed.drop("_late").withColumn("place", F.col("place").cast("bigint")))))
 
 
-QUERIES = {f.__name__: f for f in (packet_type_summary, beacon_basic, beacon_extended, beacon_native, telecommand_replies, log_messages, bulk_downlinks, general_messages, partial_packets, csp_headers, crc_summary, hex_packets, last_beacon, decoded_by_receipt)}
+QUERIES = {f.__name__: f for f in (packet_type_summary, beacon_basic, beacon_extended, beacon_native, telecommand_replies, log_messages, bulk_downlinks, peripheral_beacons, general_messages, beacon_fields, partial_packets, csp_headers, crc_summary, hex_packets, last_beacon, decoded_by_receipt)}
 
 
 def _byte(offset: int) -> str:
@@ -159,20 +181,74 @@ def _json_list(names: dict[int, str]) -> str:
     return f"'[' || array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ', ') || ']'"
 
 
+#: hex digits of one well-formed character, and of a malformed part (the longest start of a character, else a byte)
+_CHARACTER = "[0-7].|(?:C[2-9A-F]|D.)[89AB].|E0[AB].[89AB].|E[1-9A-CEF][89AB].[89AB].|ED[89].[89AB].|F0[9AB].[89AB].[89AB].|F[1-3][89AB].[89AB].[89AB].|F48.[89AB].[89AB]."
+_MALFORMED = "E0[AB].|E[1-9A-CEF][89AB].|ED[89].|F0[9AB].(?:[89AB].)?|F[1-3][89AB].(?:[89AB].)?|F48.(?:[89AB].)?|.."
+
+
+def _replaced(digits: str) -> str:
+    """Text of bytes, U+FFFD for each malformed part."""
+    return f"decode(unhex(array_to_string(list_transform(regexp_extract_all({digits}, '{_CHARACTER}|{_MALFORMED}'), lambda x: CASE WHEN regexp_full_match(x, '{_CHARACTER}') THEN x ELSE 'EFBFBD' END), '')))"
+
+
+_cut = lambda offset, size: f"substr(h, {2 * offset + 1}, {2 * size})"
+_UNTIL_NUL_BYTES = "regexp_extract({digits}, '^((?:0[1-9A-F]|[1-9A-F].)*)', 1)"
+_LOG = f"(CASE WHEN contains({_replaced(_cut(1, L.LOG_DATA))}, chr(10)) THEN regexp_extract({_replaced(_cut(1, L.LOG_DATA))}, '(?s)^(.*)\n', 1) ELSE {_replaced(_cut(1, L.LOG_DATA))} END)"
+_REPLY = _replaced(_UNTIL_NUL_BYTES.format(digits=_cut(14, L.TCMD_DATA)))
+_BULK_HEX = f"lower({_cut(5, L.BULK_DATA)})"
+_BULK_LENGTH = f"least(n - 5, {L.BULK_DATA})"
+_PRINTED = f"decode(unhex({_cut(5, L.BULK_DATA)}))"
+_BULK_TEXT = rf"""CASE WHEN {_BULK_LENGTH} = 0 THEN '' WHEN regexp_full_match({_cut(5, L.BULK_DATA)}, '(?:{_CHARACTER})*') AND length(regexp_replace({_PRINTED}, '[\pC\pZ]', '', 'g')) + length(regexp_replace({_PRINTED}, '[^ \n\r\t]', '', 'g')) >= 0.85 * length({_PRINTED})
+  THEN {_PRINTED} ELSE '<BINARY DATA: ' || {_BULK_LENGTH} || ' bytes' || CASE WHEN contains({_BULK_HEX}, '0cffff0c') THEN ', maybe MPI data' ELSE '' END || CASE WHEN contains({_BULK_HEX}, 'aa4412') THEN ', maybe binary GNSS data' ELSE '' END || '>' END"""
+#: CRC-32C byte by byte: the table by eight shifts of each byte, then the bytes of header and payload before the trailer
+_CRC = f"""crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0x82F63B78}) ELSE c >> 1 END)) AS t),
+  framed AS (SELECT w.*, {_HEADER} AS head, {_HEADER} || lower(substr(h, 1, greatest(0, 2 * n - 8))) AS body FROM w),
+  checked AS (SELECT framed.*, coalesce(n >= 4 AND xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(body) // 2), lambda k: CAST('0x' || substr(body, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) = CAST('0x' || substr(h, 2 * n - 7, 8) AS BIGINT), false) AS crc_ok FROM framed, crc_table)"""
+
+
+def _only(kinds: tuple[str, ...], value: str, name: str) -> str:
+    return f"""CASE WHEN whole AND kind IN ({', '.join(f"'{k}'" for k in kinds)}) THEN {value} END AS "{name}\""""
+
+
+def _all_columns() -> str:
+    basic, extended, reply, log, bulk, peripheral = ("BEACON_BASIC", "BEACON_EXTENDED"), ("BEACON_EXTENDED",), ("TCMD_RESPONSE",), ("LOG_MESSAGE",), ("BULK_FILE_DOWNLINK",), ("BEACON_PERIPHERAL",)
+    out = [_only(basic, f"{_until_nul(1, 4)}", "satellite_name"), _only(basic, f"round({_number(7, 'I')} / 1000.0, 3)", "uptime_sec"), _only(basic, _UTC_TEXT, "utc_time"), _only(basic, _until_nul(84, 42), "friendly_message"), _only(extended, _until_nul(126, 4), "end_version_number")]
+    for fields, kinds in ((L.BASIC_FIELDS[1:], basic), (L.EXTENDED_FIELDS, extended)):
+        out += [_only(kinds, _sql_field(*f).rpartition(" AS ")[0], f[2]) for f in fields]
+    out += [_only(extended, v, n) for n, v in _STATE_COLUMNS.items()]
+    out += [_only(peripheral, "lower(h)", "raw_payload_hex"), _only(peripheral, f"'{L.PERIPHERAL_NOTE}'", "_note")]
+    out += [_only(reply, v, n) for n, v in _REPLY_COLUMNS.items()] + [_only(log, _LOG, "log_message")]
+    out += [_only(bulk, _number(1, "I"), "bulk_file_offset"), _only(bulk, _BULK_LENGTH, "bulk_data_len"), _only(bulk, _BULK_HEX, "bulk_data_hex")]
+    return ",\n  ".join(out)
+
+
+_GENERAL = f"CASE WHEN NOT whole THEN NULL WHEN kind = 'LOG_MESSAGE' THEN {_LOG} WHEN kind = 'TCMD_RESPONSE' THEN {_REPLY} WHEN kind = 'BULK_FILE_DOWNLINK' THEN {_BULK_TEXT} END"
+_UTC_TEXT = f"CASE WHEN {_MS} BETWEEN 1 AND {L.LATEST_MS} THEN strftime(make_timestamp({_MS} * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {_MS} % 1000 = 0 THEN '' ELSE strftime(make_timestamp({_MS} * 1000), '.%f') END || '+00:00Z' END"
+_STATE_COLUMNS = {
+    "adcs_attitude_estimation_mode": _numbered("ADCS_ESTIM_MODE", 0, 4), "adcs_control_mode": _numbered("ADCS_CONTROL_MODE", 4, 4), "adcs_run_mode": _numbered("ADCS_RUN_MODE", 8, 2), "adcs_asgp4_mode": _numbered("ADCS_ASGP4_MODE", 10, 2),
+    "adcs_sun_above_local_horizon": f"{_state_bits(23, 1)} = 1", **{c: _json_list(names) for c, names in L.STATE_BITS.items()},
+}
+_REPLY_COLUMNS = {"tcmd_ts_sent": _number(1, "Q"), "tcmd_response_code": _number(9, "B"), "tcmd_duration_ms": _number(10, "H"), "tcmd_response_seq_num": _number(12, "B"), "tcmd_response_max_seq_num": _number(13, "B"), "tcmd_response_text": _REPLY}
+_KEPT = lambda columns: ", ".join(f"{v} AS {n}" for n, v in columns.items())
+_BEACONS = "FROM w WHERE whole AND kind IN ('BEACON_BASIC', 'BEACON_EXTENDED')"
+_FIELD_SQL = ", ".join(f[0] if f else n for n, f in FIELDS.items())
 ORACLE = {
     "packet_type_summary": f"WITH {_P} SELECT kind AS packet_type, count(*) AS n FROM w GROUP BY ALL",
-    "beacon_basic": f"""WITH {_P} SELECT packet_id, kind AS packet_type, {_until_nul(1, 4)} AS satellite_name, round({_number(7, 'I')} / 1000.0, 3) AS uptime_sec,
-        CASE WHEN {_MS} BETWEEN 1 AND {L.LATEST_MS} THEN strftime(make_timestamp({_MS} * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN {_MS} % 1000 = 0 THEN '' ELSE strftime(make_timestamp({_MS} * 1000), '.%f') END || '+00:00Z' END AS utc_time,
-        {_until_nul(84, 42)} AS friendly_message, {', '.join(_sql_field(*f) for f in L.BASIC_FIELDS[1:])} FROM w WHERE whole AND kind IN ('BEACON_BASIC', 'BEACON_EXTENDED')""",
-    "beacon_extended": f"""WITH {_P} SELECT packet_id, {_until_nul(126, 4)} AS end_version_number, {', '.join(_sql_field(*f) for f in L.EXTENDED_FIELDS)},
-        {_numbered('ADCS_ESTIM_MODE', 0, 4)} AS adcs_attitude_estimation_mode, {_numbered('ADCS_CONTROL_MODE', 4, 4)} AS adcs_control_mode, {_numbered('ADCS_RUN_MODE', 8, 2)} AS adcs_run_mode, {_numbered('ADCS_ASGP4_MODE', 10, 2)} AS adcs_asgp4_mode,
-        {_state_bits(23, 1)} = 1 AS adcs_sun_above_local_horizon,
-        {', '.join(f"{_json_list(names)} AS {c}" for c, names in L.STATE_BITS.items())}
-        FROM w WHERE whole AND kind = 'BEACON_EXTENDED'""",
-    "beacon_native": f"WITH {_P} SELECT packet_id, {', '.join(_sql_field(*f) for f in L.BASIC_FIELDS if f[2] in ('unix_epoch_time_ms', 'eps_mode', 'eps_battery_voltage_V', 'obc_temperature_C'))} FROM w WHERE whole AND kind IN ('BEACON_BASIC', 'BEACON_EXTENDED')",
-    "telecommand_replies": f"WITH {_P} SELECT packet_id, {_number(1, 'Q')} AS tcmd_ts_sent, {_number(9, 'B')} AS tcmd_response_code, {_number(10, 'H')} AS tcmd_duration_ms, {_number(12, 'B')} AS tcmd_response_seq_num, {_number(13, 'B')} AS tcmd_response_max_seq_num, {_until_nul(14, L.TCMD_DATA)} AS tcmd_response_text FROM w WHERE whole AND kind = 'TCMD_RESPONSE'",
-    "bulk_downlinks": f"WITH {_P} SELECT packet_id, {_number(1, 'I')} AS bulk_file_offset, least(n - 5, {L.BULK_DATA}) AS bulk_data_len, lower(substr(h, 11, {2 * L.BULK_DATA})) AS bulk_data_hex FROM w WHERE whole AND kind = 'BULK_FILE_DOWNLINK'",
+    "beacon_basic": f"WITH {_P} SELECT packet_id, kind AS packet_type, {_until_nul(1, 4)} AS satellite_name, round({_number(7, 'I')} / 1000.0, 3) AS uptime_sec, {_UTC_TEXT} AS utc_time, {_until_nul(84, 42)} AS friendly_message, {', '.join(_sql_field(*f) for f in L.BASIC_FIELDS[1:])} {_BEACONS}",
+    "beacon_extended": f"WITH {_P} SELECT packet_id, {_until_nul(126, 4)} AS end_version_number, {', '.join(_sql_field(*f) for f in L.EXTENDED_FIELDS)}, {_KEPT(_STATE_COLUMNS)} FROM w WHERE whole AND kind = 'BEACON_EXTENDED'",
+    "beacon_native": f"WITH {_P} SELECT packet_id, {', '.join(_sql_field(*f) for f in L.BASIC_FIELDS if f[2] in ('unix_epoch_time_ms', 'eps_mode', 'eps_battery_voltage_V', 'obc_temperature_C'))} {_BEACONS}",
+    "beacon_fields": f"SELECT beacon_id, {_FIELD_SQL} FROM beacon",
+    "telecommand_replies": f"WITH {_P} SELECT packet_id, {_KEPT(_REPLY_COLUMNS)} FROM w WHERE whole AND kind = 'TCMD_RESPONSE'",
+    "log_messages": f"WITH {_P} SELECT packet_id, {_LOG} AS log_message FROM w WHERE whole AND kind = 'LOG_MESSAGE'",
+    "bulk_downlinks": f"WITH {_P} SELECT packet_id, {_number(1, 'I')} AS bulk_file_offset, {_BULK_LENGTH} AS bulk_data_len, {_BULK_HEX} AS bulk_data_hex FROM w WHERE whole AND kind = 'BULK_FILE_DOWNLINK'",
+    "peripheral_beacons": f"WITH {_P} SELECT packet_id, lower(h) AS raw_payload_hex, '{L.PERIPHERAL_NOTE}' AS _note FROM w WHERE whole AND kind = 'BEACON_PERIPHERAL'",
+    "general_messages": f"WITH {_P} SELECT packet_id, kind AS packet_type, {_GENERAL} AS general_message FROM w",
     "partial_packets": f"WITH {_P} SELECT packet_id, kind AS packet_type, CASE WHEN n > 0 THEN {_HEADER} END AS csp_header_hex FROM w WHERE NOT whole",
     "csp_headers": f"SELECT packet_id, {_HEADER} AS csp_header_hex, try_cast(nullif(regexp_extract(session_dir, '(\\d+)/?$', 1), '') AS BIGINT) AS observation_id, CAST(NULL AS VARCHAR) AS ground_station FROM packet WHERE rs_errs >= 0",
+    "crc_summary": f"WITH {_P}, {_CRC} SELECT kind AS packet_type, count(*) AS n, count_if(crc_ok) AS n_valid FROM checked GROUP BY ALL",
+    "hex_packets": f"""WITH {problems._REASON} SELECT line_id, lower(substr(p, 1, 8)) AS csp_header_hex, CASE upper(substr(p, 9, 2)) {' '.join(f"WHEN '{k:02X}' THEN '{v}'" for k, v in L.CODES['PACKET_TYPE'].items())} ELSE 'UNKNOWN' END AS packet_type, CAST(length(p) // 2 - 4 AS INT) AS n_bytes FROM judged WHERE reason IS NULL""",
     "last_beacon": f"WITH {_P} SELECT packet_id, {_until_nul(1, 4)} AS satellite_name, {_number(7, 'I')} AS uptime_ms, {_code('EPS_MODE', _number(33, 'B'))} AS eps_mode, {_number(43, 'B')} AS eps_battery_percent FROM w WHERE kind = 'BEACON_BASIC' ORDER BY ts_received DESC NULLS LAST, packet_id DESC LIMIT 1",
+    "decoded_by_receipt": f"""WITH {_P}, {_CRC} SELECT packet_id, row_number() OVER (ORDER BY ts_received DESC NULLS FIRST, packet_id) AS place, ts_received AS received_timestamp, try_cast(nullif(regexp_extract(session_dir, '(\\d+)/?$', 1), '') AS BIGINT) AS observation_id, CAST(NULL AS VARCHAR) AS ground_station,
+  kind AS packet_type, {_GENERAL} AS general_message, CASE WHEN n > 0 THEN head END AS csp_header_hex, CASE WHEN n > 0 THEN crc_ok END AS csp_crc_valid,
+  {_all_columns()} FROM checked""",
 }

@@ -104,7 +104,20 @@ judged AS (
     WHEN NOT regexp_full_match(p, '([0-9A-Fa-f]{2}){5,}') THEN 'payload'
     WHEN NOT regexp_full_match(o, '\d*') OR (o <> '' AND try_cast(o AS bigint) IS NULL) THEN 'observation' END AS reason FROM plain)"""
 
+#: messages by equal header fields and payload less a valid trailer; anchors are chained, each the first copy beyond the horizon
+_COPIES = f"""counted AS (SELECT packet_id, epoch_us(ts_received) AS ts, [csp_prio, csp_src, csp_dst, csp_dport, csp_sport, csp_flags] AS header, hex(payload) AS h, octet_length(payload) AS n,
+    lower(lpad(to_hex(((((CAST(csp_prio & 3 AS BIGINT) * 32 + (csp_src & 31)) * 32 + (csp_dst & 31)) * 64 + (csp_dport & 63)) * 64 + (csp_sport & 63)) * 256 + (csp_flags & 255)), 8, '0')) || lower(hex(payload)[:greatest(0, 2 * octet_length(payload) - 8)]) AS body
+    FROM packet WHERE rs_errs >= 0 AND payload IS NOT NULL AND ts_received IS NOT NULL),
+  crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, {0x82F63B78}) ELSE c >> 1 END)) AS t),
+  valid AS (SELECT counted.*, coalesce(n >= 4 AND xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(body) // 2), lambda k: CAST('0x' || substr(body, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) = CAST('0x' || substr(h, 2 * n - 7, 8) AS BIGINT), false) AS trailer FROM counted, crc_table),
+  messages AS (SELECT packet_id, ts, header, CASE WHEN trailer THEN h[:2 * n - 8] ELSE h END AS core FROM valid),
+  anchors AS (SELECT header, core, min(ts) AS anchor FROM messages GROUP BY ALL
+    UNION ALL SELECT a.header, a.core, (SELECT min(m.ts) FROM messages m WHERE m.header = a.header AND m.core = a.core AND m.ts > a.anchor + 600000000) AS next FROM anchors a WHERE next IS NOT NULL),
+  placed AS (SELECT m.*, a.anchor, row_number() OVER (PARTITION BY m.header, m.core, a.anchor ORDER BY m.ts, m.packet_id) AS k FROM messages m ASOF JOIN anchors a ON m.header = a.header AND m.core = a.core AND m.ts >= a.anchor)"""
+
 ORACLE = {
+    "p1_found": f"WITH RECURSIVE {_COPIES} SELECT packet_id FROM placed WHERE k > 1",
+    "p1_kept": f"WITH RECURSIVE {_COPIES} SELECT packet_id, make_timestamp(ts) AS ts_received FROM placed WHERE k = 1",
     "p2_found": f"WITH {_REASON} SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p2_loaded": rf"""WITH {_REASON},
       parts AS (SELECT *, regexp_extract(t, '([+-])(\d\d):(\d\d)$', ['s', 'h', 'm']) AS z, regexp_extract(t, '\.(\d+)', 1) AS frac FROM judged WHERE reason IS NULL)
