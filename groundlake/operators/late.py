@@ -1,4 +1,4 @@
-"""Late and out-of-order events (problem 4): one SQL statement.
+"""Late and out-of-order events (problem 4): SQL only.
 
 The triangle of event period by arrival revision: each cell is aggregated once, and a window sums the cells of a
 period over the revisions, so that every corrected state of the period comes out. Revision 0 holds what had
@@ -84,10 +84,10 @@ def revisions(usable: DataFrame, entity: str, value: str, rule: Lateness = Laten
 
 def corrected(states: DataFrame) -> DataFrame:
     """(entity, start_us) of the periods that were corrected after their first publication."""
-    return states.filter("revision > 0").select("entity", "start_us").distinct()
+    return states.sparkSession.sql("SELECT DISTINCT entity, start_us FROM {states} WHERE revision > 0", states=states)
 
 
 def final(states: DataFrame) -> DataFrame:
     """The last state of every period."""
-    last = states.selectExpr("*", "max(revision) OVER (PARTITION BY entity, start_us) AS _last")
-    return last.filter("revision = _last").drop("_last")
+    columns = ", ".join(f"last.{c}" for c in states.columns)
+    return states.sparkSession.sql(f"SELECT {columns} FROM (SELECT max_by(struct(*), revision) AS last FROM {{states}} GROUP BY entity, start_us)", states=states)

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", app: str = "groundlake", **more: str) -
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | more
     spark = SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
