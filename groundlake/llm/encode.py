@@ -186,10 +186,9 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str
     size = F.coalesce(F.length("text"), F.lit(0))
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)
         for b in batches:
-            ids = [t.encode(x) if x else [] for x in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names[:-1], "ids"])
+            t = tokenizer(path)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.encode(x) if x else [] for x in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["k", "ids"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -199,13 +198,14 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array([x for p in parts for x in p], pa.string())], ["k", "copy", "seq", "n", "piece"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Joins runs of rows that belong together; ``n`` tells how many rows of a text there are, ``seq`` which."""
-        t, parts = tokenizer(path), []
+        """Encodes leaves and joins runs of them; ``n`` tells how many leaves a text has, ``seq`` which of them a row is."""
+        parts: list[list[int]] = []
         for b in batches:
+            t = tokenizer(path)
             out: list[tuple[int, int, int, list[int]]] = []
-            seq, n, ids = (b.column(k).to_pylist() for k in (2, 3, 4))
+            seq, n, pieces = (b.column(k).to_pylist() for k in (2, 3, 4))
             for i in range(b.num_rows):
-                parts.append(ids[i])
+                parts.append(t.encode(pieces[i]))
                 if seq[i] % fan == fan - 1 or seq[i] == n[i] - 1:
                     out.append((i, seq[i] // fan, -(-n[i] // fan), t.tree(parts)))
                     parts = []
@@ -216,13 +216,13 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Joins all rows of a text."""
-        t, parts = tokenizer(path), []
+        parts: list[list[int]] = []
         for b in batches:
             out: list[tuple[int, list[int]]] = []
             for i, (n, x) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
                 parts.append(x)
                 if len(parts) == n:
-                    out.append((i, t.tree(parts)))
+                    out.append((i, tokenizer(path).tree(parts) if n > 1 else x))
                     parts = []
             if out:
                 at, x = zip(*out, strict=True)
@@ -234,6 +234,6 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", *, path: str
     row = f"k {kind}, copy bigint, seq int, n int"
     leaves = longer.mapInArrow(cut, f"{row}, piece string").withColumn("group", F.floor(F.col("seq") / fan))
     spread = leaves.repartition(F.xxhash64("copy", "group")).sortWithinPartitions("copy", "seq").drop("group")
-    first = spread.mapInArrow(leaf, f"{row}, ids array<int>").mapInArrow(joined, f"{row}, ids array<int>")
+    first = spread.mapInArrow(joined, f"{row}, ids array<int>")
     several = laid_out(first, ["copy"], "seq").mapInArrow(whole, f"k {kind}, ids array<int>")
     return single.unionByName(several).withColumnRenamed("k", key)
