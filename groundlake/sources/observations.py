@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import logging
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 from urllib.request import Request, urlopen
@@ -43,6 +45,11 @@ def row(observation: dict) -> tuple:
     return tuple(number(observation.get(f)) if f in ("station_lat", "station_lng") else text(observation.get(f)) for f in _FIELDS)
 
 
+def unexpected(page: list[dict], status: str | None) -> dict[str, int]:
+    """How often a page holds each status that was not asked for; such observations are kept all the same."""
+    return dict(Counter(str(o.get("status")) for o in page if status and o.get("status") != status))
+
+
 class ObservationReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = {**options}
@@ -54,6 +61,8 @@ class ObservationReader(DataSourceReader):
         o = self.options
         filters = {"satellite__norad_cat_id": o.get("norad_id"), "status": o.get("status", "future"), "start": o.get("start"), "start__lt": o.get("start_lt"), "end__gt": o.get("end_gt"), "format": "json", "page_size": o.get("page_size", "100")}
         for page in pages(o["url"], filters, o.get("token"), float(o.get("timeout", "15"))):
+            if other := unexpected(page, filters["status"]):
+                logging.getLogger(__name__).warning("observations of status %s among those asked for as %s", other, filters["status"])
             yield from map(row, page)
 
 

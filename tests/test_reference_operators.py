@@ -81,6 +81,7 @@ def test_pages():
     served = {"u?a=1": ([{"id": 1}], "u2"), "u2": ([], "u3"), "u3": ([{"id": 2, "station_lat": 1}], None)}
     found = list(observations.pages("u", {"a": "1", "b": ""}, fetch=lambda at, token, timeout: served[at]))
     assert [p[0]["id"] for p in found] == [1, 2] and observations.row(found[1][0])[4] == 1.0
+    assert observations.unexpected([{"status": "future"}, {"status": "bad"}, {}], "future") == {"bad": 1, "None": 1}
     assert observations.next_link('<http://x?c=2>; rel="next", <http://x>; rel="prev"') == "http://x?c=2"
 
 
