@@ -32,6 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundlake.functions.batches import laid_out, whole_groups
+from groundlake.session import written
 
 
 @dataclass(frozen=True)
@@ -139,9 +140,13 @@ def _off_course(y: float, mf: float, vf: float, mb: float, vb: float, rule: Judg
 
 
 def long_readings(usable: DataFrame, source: str, key: str, fields: list[str]) -> DataFrame:
-    """(source, field, us, id, value): one row for each reading that is not null."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in fields]))
-    out = usable.select(F.col(source).alias("source"), F.col("event_us").alias("us"), F.col(key).alias("id"), pairs.alias("r"))
+    """(source, field, us, id, value): one row for each reading that is not null.
+
+    ``field`` is a place in ``fields``, and ``source`` a text that is never null: joins on it need no second layout.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("field"), F.col(f).cast("double").alias("value")) for i, f in enumerate(fields)]))
+    name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
+    out = usable.select(name.alias("source"), F.col("event_us").alias("us"), F.col(key).alias("id"), pairs.alias("r"))
     return out.select("source", "r.field", "us", "id", "r.value").filter("value IS NOT NULL")
 
 
@@ -150,7 +155,8 @@ def ranked(readings: DataFrame, limits: dict[str, tuple[float, float]]) -> DataF
 
     Scatter: 1.4826 times the median absolute deviation of readings from the line between their two neighbours,
     brought to the scale of one reading; over readings within the limits. Interval: the median of the positive
-    seconds between neighbours. The neighbours at the edge of an hour come from one summary row an hour.
+    seconds between neighbours. The neighbours at the edge of an hour come from one summary row an hour. ``source`` and
+    ``field`` must not be null; see ``long_readings``. The readings are read twice, so they should be a stored table.
     """
     hour = ["source", "field", "hour"]
     rows = readings.withColumn("hour", F.floor(F.col("us") / F.lit(3_600_000_000)).cast("bigint"))
@@ -159,10 +165,9 @@ def ranked(readings: DataFrame, limits: dict[str, tuple[float, float]]) -> DataF
     counts = rows.groupBy(*hour).agg(F.count("*").alias("_count"), F.min(whole).alias("_first"), F.max(whole).alias("_last"))
     offsets = counts.select(*hour, F.sum("_count").over(hours.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.lag("_last").over(hours).alias("_from"), F.lead("_first").over(hours).alias("_to"))
     rows = rows.select("*", (F.row_number().over(w) - 1).alias("_n"), *[f(c).over(w).alias(f"_{n}_{c}") for n, f in (("lag", F.lag), ("lead", F.lead)) for c in ("us", "value")])
-    r, o = rows.alias("r"), offsets.alias("o")
-    joined = r.join(o, [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in hour])
+    joined = rows.alias("r").join(offsets.alias("o"), hour)
     beside = [F.coalesce(f"r._{n}_{c}", f"o.{e}.{c}").alias(f"_{n}_{c}") for n, e in (("lag", "_from"), ("lead", "_to")) for c in ("us", "value")]
-    joined = joined.select("r.source", "r.field", "r.us", "r.id", "r.value", (F.coalesce("o._before", F.lit(0)) + F.col("r._n")).alias("rank"), *beside)
+    joined = joined.select("source", "field", "r.us", "r.id", "r.value", (F.coalesce("o._before", F.lit(0)) + F.col("r._n")).alias("rank"), *beside)
     share = (F.col("us") - F.col("_lag_us")) / F.nullif(F.col("_lead_us") - F.col("_lag_us"), F.lit(0))
     off = F.col("value") - (F.col("_lag_value") * (1 - share) + F.col("_lead_value") * share)
     scale = F.sqrt(1 + share * share + (1 - share) * (1 - share))
@@ -171,16 +176,17 @@ def ranked(readings: DataFrame, limits: dict[str, tuple[float, float]]) -> DataF
         within = within | ((F.col("field") == f) & F.col("value").between(low, high))
     step = F.col("us") - F.col("_lag_us")
     usual = joined.groupBy("source", "field").agg((1.4826 * F.percentile_approx(F.when(within, F.abs(off / scale)), 0.5, 10_000)).alias("scatter"), (F.percentile_approx(F.when(step > 0, step), 0.5, 10_000) / 1e6).alias("interval"))
-    j, s = joined.alias("j"), usual.alias("s")
-    out = j.join(s, [F.col(f"j.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("source", "field")], "left")
-    return out.select("j.source", "j.field", "j.us", "j.id", "j.value", "j.rank", "s.scatter", "s.interval")
+    out = joined.join(usual, ["source", "field"], "left")
+    return out.select("source", "field", "us", "id", "value", "rank", "scatter", "interval")
 
 
 def implausible(usable: DataFrame, source: str, key: str, limits: dict[str, tuple[float, float]], rule: Judgement = Judgement()) -> DataFrame:
     """(key, field_name) of implausible readings among events with ``event_us``."""
     if rule.halo < rule.stuck or rule.block < rule.halo:
         raise ValueError("stuck <= halo <= block must hold")
-    rows = ranked(long_readings(usable, source, key, list(limits)), limits)
+    fields = list(limits)
+    by_place = {str(i): limits[f] for i, f in enumerate(fields)}
+    rows = ranked(written(long_readings(usable, source, key, fields), "readings"), by_place)
     own = F.floor(F.col("rank") / F.lit(rule.block)).cast("bigint")
     first, last = (F.greatest(F.lit(0), F.floor((F.col("rank") + d) / F.lit(rule.block))).cast("bigint") for d in (-rule.halo, rule.halo))
     rows = rows.select("source", "field", F.explode(F.sequence(first, last)).alias("block"), own.alias("_own"), "us", "id", "value", "scatter", "interval")
@@ -194,9 +200,10 @@ def implausible(usable: DataFrame, source: str, key: str, limits: dict[str, tupl
             scatter, interval, field = t.column("scatter").to_numpy(zero_copy_only=False), t.column("interval").to_numpy(zero_copy_only=False), t.column("field")
             hit = np.zeros(t.num_rows, bool)
             for a, z in zip(starts, [*starts[1:], t.num_rows], strict=True):
-                low, high = limits[field[int(a)].as_py()]
+                low, high = by_place[field[int(a)].as_py()]
                 hit[a:z] = judge(us[a:z] / 1e6, value[a:z], float(np.nan_to_num(scatter[a], nan=0.0)), low, high, rule, float(np.nan_to_num(interval[a], nan=0.0)))
             take = pa.array(np.flatnonzero(hit & core))
-            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(take), field.combine_chunks().take(take)], ["id", "field_name"])
+            names = pa.array([fields[int(x)] for x in field.take(take).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks().take(take), names], ["id", "field_name"])
 
     return laid.mapInArrow(run, f"id {kind}, field_name string").withColumnRenamed("id", key)
