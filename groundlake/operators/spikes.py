@@ -175,8 +175,10 @@ def ranked(readings: DataFrame, limits: dict[str, tuple[float, float]]) -> DataF
     for f, (low, high) in limits.items():
         within = within | ((F.col("field") == f) & F.col("value").between(low, high))
     step = F.col("us") - F.col("_lag_us")
-    usual = joined.groupBy("source", "field").agg((1.4826 * F.percentile_approx(F.when(within, F.abs(off / scale)), 0.5, 10_000)).alias("scatter"), (F.percentile_approx(F.when(step > 0, step), 0.5, 10_000) / 1e6).alias("interval"))
-    out = joined.join(usual, ["source", "field"], "left")
+    placed = joined.select("source", "field", "us", "id", "value", "rank", F.when(within, F.abs(off / scale)).alias("_off"), F.when(step > 0, step).alias("_step"))
+    placed = written(placed, "ranked")
+    usual = placed.groupBy("source", "field").agg((1.4826 * F.percentile_approx("_off", 0.5, 10_000)).alias("scatter"), (F.percentile_approx("_step", 0.5, 10_000) / 1e6).alias("interval"))
+    out = placed.join(usual, ["source", "field"], "left")
     return out.select("source", "field", "us", "id", "value", "rank", "scatter", "interval")
 
 
