@@ -56,6 +56,11 @@ def readable(line: Column) -> Column:
     return F.concat_ws(" | ", *parts, line)
 
 
+#: line ends, and the blanks that are cut off lines
+_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
+_OUTER_BLANKS = r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$"
+
+
 def lines_of(text: Column) -> Column:
-    """The lines of a text that are not blank, trimmed, as an array."""
-    return F.filter(F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """The lines of a text that are not blank, without outer blanks, as an array."""
+    return F.filter(F.transform(F.split(text, _LINE_END), lambda x: F.regexp_replace(x, F.lit(_OUTER_BLANKS), F.lit(""))), lambda x: x != "")

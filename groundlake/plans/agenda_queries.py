@@ -84,6 +84,12 @@ def sheet_agenda(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("line_no").cast("bigint").alias("line_no"), "line")
 
 
+def command_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of every text that are not blank, as lists of commands are read."""
+    docs = table(spark, folder, "documents").filter("text IS NOT NULL")
+    return docs.select("doc_id", F.posexplode(commands.lines_of(F.col("text"))).alias("position", "command"))
+
+
 def interval_steps(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "obs_interval").select("observation_id", F.unix_micros(F.col("start_utc").cast("timestamp")).alias("a"), F.unix_micros(F.col("end_utc").cast("timestamp")).alias("z"), F.lit(90_000_000).cast("bigint").alias("step"))
     return agenda.stepped(rows.filter("a IS NOT NULL AND z IS NOT NULL"), "a", "z", "step").select("observation_id", "at")
@@ -133,7 +139,7 @@ def file_writes(spark: SparkSession, folder: str) -> DataFrame:
     return agenda.file_uplink(files, ["doc_id"], "content", "target", mode="write_file_hex", hash_count=2, name="name")
 
 
-QUERIES = {f.__name__: f for f in (pass_ticks, pass_commands, pass_priorities, pass_remarks, pass_agenda, forbidden_lines, readable_commands, sheet_agenda, interval_steps, repeated_rows, sheet_values, scattered_commands, file_chunks, file_uplink_hex, file_uplink_base64, file_writes)}
+QUERIES = {f.__name__: f for f in (pass_ticks, pass_commands, pass_priorities, pass_remarks, pass_agenda, forbidden_lines, readable_commands, sheet_agenda, command_lines, interval_steps, repeated_rows, sheet_values, scattered_commands, file_chunks, file_uplink_hex, file_uplink_base64, file_writes)}
 
 _START, _END = PLAN.uplink_start_ms, PLAN.uplink_end_ms
 _stamp = lambda ms: f"strftime(make_timestamp(({ms}) * 1000), '%Y-%m-%dT%H:%M:%SZ')"
@@ -174,6 +180,7 @@ def _uplink(data: str, tsexec: bool) -> str:
       SELECT doc_id, phase, step, c || '@tssent=' || (1767571200000 + i * 1000) || CASE WHEN phase = 1 THEN '' ELSE {run} END || '!' AS line FROM rows"""
 
 
+_BLANKS = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _HEAD = ["# DEMO Command Agenda", "# Satellite NORAD ID: 12345", "# Uplink window: 2026-01-05 00:00:00 UTC -> 2026-01-05 00:15:00 UTC (15.0 min)", "# Observation fetch window end: 24.0 hrs after uplink", "# Generated at: 2026-01-05T00:00:00+00:00"]
 _MORE = ["# Time between loop command blocks: 20.0 s", "# Time between commands in a loop block: 2.0 s", "# Priority command injection interval: every 50 loop commands", "# Loop commands (3):", "#   CTS1+echo_back_args(a)!", "#   hello_world()", "#   CTS1+get_time()", "# Priority commands (2):", "#   CTS1+set_mode(2)@tsexec=1767600000000!", "#   reboot()", ""]
 _listed = lambda lines, first: ", ".join(f"({first + i}, '{x}')" for i, x in enumerate(lines))
@@ -189,6 +196,8 @@ ORACLE = {
       runs AS (SELECT i, k, 1767571200000 + (c + k) * 1000 AS sent, 1767571200000 + (c + k) * 1000 AS run FROM v, unnest(range(0, (i % 7) * 60 + 1, CASE WHEN i % 2 = 0 THEN 30 ELSE 90 END)) u(k) WHERE i % 3 = 0),
       every AS (SELECT * FROM singles UNION ALL SELECT * FROM runs)
       SELECT row_number() OVER (ORDER BY sent, i, k) AS line_no, 'CTS1+cmd_2026-01-05(' || i || ')@tssent=' || sent || '@tsexec=' || run || CASE WHEN i % 2 = 0 THEN '' ELSE '@resp_fname=log_2026-01-05.txt' END || '!' AS line FROM every""",
+    "command_lines": rf"""WITH lines AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, CAST(k - 1 AS INT) AS position, l[k] AS command FROM lines, unnest(range(1, len(l) + 1)) u(k)""",
     "interval_steps": "SELECT observation_id, \"at\" FROM (SELECT observation_id, unnest(range(epoch_us(start_utc), epoch_us(end_utc) + 1, 90000000)) AS \"at\" FROM obs_interval WHERE start_utc <= end_utc)",
     "repeated_rows": "SELECT beacon_id, CAST(k AS INT) AS copy FROM beacon, unnest(range(1, beacon_id % 4 + 1)) u(k)",
     "sheet_values": """WITH v AS (SELECT *, agenda_id % 24 AS h, agenda_id % 60 AS m, CASE WHEN agenda_id % 7 = 2 THEN 0 ELSE agenda_id % 59 END AS s FROM agenda),

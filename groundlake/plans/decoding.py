@@ -11,6 +11,8 @@ from groundlake.functions.ordered import running_sums
 from groundlake.operators import decode, rejects
 from groundlake.plans import problems
 from groundlake.plans.tables import table
+from groundlake.session import new_folder
+from groundlake.sources import packets
 
 
 def _decoded(spark: SparkSession, folder: str, engine: str = "arrow", columns: list[str] | None = None) -> DataFrame:
@@ -107,6 +109,15 @@ def hex_packets(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("line_id", "csp_header_hex", decode.packet_kind().alias("packet_type"), F.length("payload").alias("n_bytes"))
 
 
+def exported_packets(spark: SparkSession, folder: str) -> DataFrame:
+    """The valid lines written as a text export and read again."""
+    lines = rejects.loaded(rejects.parse_lines(table(spark, folder, "packet_line")))
+    at = F.date_format(F.timestamp_micros("received_us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    path = new_folder(spark, "export")
+    lines.select(at, "payload_hex", "observation_id", F.nullif("ground_station", F.lit(""))).write.options(sep="|", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    return packets.read_csv(spark, path, strict=True)
+
+
 def last_beacon(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["packet_type", "satellite_name", "uptime_ms", "eps_mode", "eps_battery_percent"]
     return _typed(decode.last_beacon(_decoded(spark, folder, "native", columns), tie="packet_id").select("packet_id", *columns[1:]))
@@ -120,7 +131,7 @@ def decoded_by_receipt(spark: SparkSession, folder: str) -> DataFrame:
     return decode.by_receipt(_typed(decode.decode(placed.drop("_late").withColumn("place", F.col("place").cast("bigint")))))
 
 
-QUERIES = {f.__name__: f for f in (packet_type_summary, beacon_basic, beacon_extended, beacon_native, telecommand_replies, log_messages, bulk_downlinks, peripheral_beacons, general_messages, beacon_fields, partial_packets, csp_headers, crc_summary, hex_packets, last_beacon, decoded_by_receipt)}
+QUERIES = {f.__name__: f for f in (packet_type_summary, beacon_basic, beacon_extended, beacon_native, telecommand_replies, log_messages, bulk_downlinks, peripheral_beacons, general_messages, beacon_fields, partial_packets, csp_headers, crc_summary, hex_packets, exported_packets, last_beacon, decoded_by_receipt)}
 
 
 def _byte(offset: int) -> str:
@@ -247,6 +258,7 @@ ORACLE = {
     "csp_headers": f"SELECT packet_id, {_HEADER} AS csp_header_hex, try_cast(nullif(regexp_extract(session_dir, '(\\d+)/?$', 1), '') AS BIGINT) AS observation_id, CAST(NULL AS VARCHAR) AS ground_station FROM packet WHERE rs_errs >= 0",
     "crc_summary": f"WITH {_P}, {_CRC} SELECT kind AS packet_type, count(*) AS n, count_if(crc_ok) AS n_valid FROM checked GROUP BY ALL",
     "hex_packets": f"""WITH {problems._REASON} SELECT line_id, lower(substr(p, 1, 8)) AS csp_header_hex, CASE upper(substr(p, 9, 2)) {' '.join(f"WHEN '{k:02X}' THEN '{v}'" for k, v in L.CODES['PACKET_TYPE'].items())} ELSE 'UNKNOWN' END AS packet_type, CAST(length(p) // 2 - 4 AS INT) AS n_bytes FROM judged WHERE reason IS NULL""",
+    "exported_packets": f"""WITH loaded AS ({problems.ORACLE['p2_loaded']}) SELECT strftime(make_timestamp(received_us), '%Y-%m-%dT%H:%M:%S.%fZ') AS received_timestamp, payload_hex AS hex_payload, observation_id, nullif(ground_station, '') AS ground_station FROM loaded""",
     "last_beacon": f"WITH {_P} SELECT packet_id, {_until_nul(1, 4)} AS satellite_name, {_number(7, 'I')} AS uptime_ms, {_code('EPS_MODE', _number(33, 'B'))} AS eps_mode, {_number(43, 'B')} AS eps_battery_percent FROM w WHERE kind = 'BEACON_BASIC' ORDER BY ts_received DESC NULLS LAST, packet_id DESC LIMIT 1",
     "decoded_by_receipt": f"""WITH {_P}, {_CRC} SELECT packet_id, row_number() OVER (ORDER BY ts_received DESC NULLS FIRST, packet_id) AS place, ts_received AS received_timestamp, try_cast(nullif(regexp_extract(session_dir, '(\\d+)/?$', 1), '') AS BIGINT) AS observation_id, CAST(NULL AS VARCHAR) AS ground_station,
   kind AS packet_type, {_GENERAL} AS general_message, CASE WHEN n > 0 THEN head END AS csp_header_hex, CASE WHEN n > 0 THEN crc_ok END AS csp_crc_valid,

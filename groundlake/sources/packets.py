@@ -20,11 +20,11 @@ ARCHIVE_SCHEMA = "ts_received string, payload binary, rs_errs int, session_dir s
 
 
 def read_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Pipe-delimited packets without a header. ``strict`` fails on a bad line; else bad values are null.
+    """Pipe-delimited packets without a header, a quote in a quoted field doubled. ``strict`` fails on a bad line; else bad values are null.
 
     To keep bad lines with the reason, read them as text and use ``read_lines``.
     """
-    return spark.read.schema(CSV_SCHEMA).option("sep", "|").option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
+    return spark.read.schema(CSV_SCHEMA).option("sep", "|").option("escape", '"').option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
