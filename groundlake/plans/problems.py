@@ -9,6 +9,7 @@ from groundlake.operators import interval_map, late, rejects, spikes, timestamps
 from groundlake.operators.redelivery import MessageArchive, packet_copies
 from groundlake.plans.tables import table
 from groundlake.session import new_folder
+from groundlake.streaming import streams
 
 #: fixed values: what a satellite can have, per field
 LIMITS = {"eps_battery_voltage_mv": (5000, 9500), "obc_temperature_cc": (-6000, 10000), "eps_battery_temperature_0_cc": (-6000, 10000)}
@@ -70,12 +71,44 @@ def p5_periods(spark: SparkSession, folder: str) -> DataFrame:
     return out.selectExpr("entity AS ground_station_id", "period_start AS start_us", "period_end AS end_us")
 
 
+def interval_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """All gaps of every station, as a stream leaves them that gets the intervals in four parts and out of order."""
+    partitions = min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)  # each holds a store of its own
+    wanted = {streams.STORE: streams.ROCKSDB, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    parts, out, state = (new_folder(spark, n) for n in ("parts", "changes", "state"))
+    rows = table(spark, folder, "obs_interval").select("observation_id", "ground_station_id", "start_utc", "end_utc")
+    for k in range(4):
+        rows.filter(F.pmod(F.xxhash64("observation_id"), F.lit(4)) == k).drop("observation_id").write.parquet(f"{parts}/part={k}")
+    schema = "entity string, gap_start bigint, gap_end bigint, added boolean"
+    spark.createDataFrame([], schema).write.parquet(f"{out}/none")
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        source = spark.readStream.schema("ground_station_id string, start_utc timestamp_ntz, end_utc timestamp_ntz, part int").option("maxFilesPerTrigger", 1).parquet(parts)
+        changes = streams.interval_stream(source, "ground_station_id", "start_utc", "end_utc")
+        query = changes.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True)
+        query.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/{number}")).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    told = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+    net = told.groupBy("entity", "gap_start", "gap_end").agg(F.sum(F.when(F.col("added"), 1).otherwise(-1)).alias("n")).filter("n > 0")
+    return net.select(F.col("entity").alias("ground_station_id"), F.col("gap_start").alias("gap_start_us"), F.col("gap_end").alias("gap_end_us"))
+
+
+def session_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged periods of intervals that last, by session windows."""
+    out = streams.session_periods(table(spark, folder, "obs_interval"), "ground_station_id", "start_utc", "end_utc")
+    return out.selectExpr("entity AS ground_station_id", "period_start AS start_us", "period_end AS end_us", "n_intervals")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     usable = late.usable_events(table(spark, folder, "beacon"), table(spark, folder, "packet"), ["satellite_name", "beacon_id", *LIMITS])
     return spikes.implausible(usable, "satellite_name", "beacon_id", LIMITS)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_loaded, p3_found, p4_found, p4_revisions, p5_found, p5_periods, p6_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_kept, p2_found, p2_loaded, p3_found, p4_found, p4_revisions, p5_found, p5_periods, interval_gaps, session_periods, p6_found)}
 
 _USABLE = """usable AS (
   SELECT b.*, epoch_us(p.ts_received) AS received_us, b.unix_epoch_time_ms * 1000 AS event_us,
@@ -133,5 +166,7 @@ ORACLE = {
       FROM cells WINDOW w AS (PARTITION BY satellite_name, hour_start_ms ORDER BY revision ROWS UNBOUNDED PRECEDING)""",
     "p5_found": f"""WITH {_PERIODS}, nexts AS (SELECT *, lead(lo) OVER (PARTITION BY ground_station_id ORDER BY lo) AS then_lo FROM periods)
       SELECT ground_station_id, hi // 1000 AS gap_start_ms, then_lo // 1000 AS gap_end_ms FROM nexts WHERE then_lo > hi AND then_lo - hi <= 43200000000""",
+    "interval_gaps": f"WITH {_PERIODS}, nexts AS (SELECT *, lead(lo) OVER (PARTITION BY ground_station_id ORDER BY lo) AS then_lo FROM periods) SELECT ground_station_id, hi AS gap_start_us, then_lo AS gap_end_us FROM nexts WHERE then_lo > hi",
+    "session_periods": f"WITH {_PERIODS.replace('start_utc <= end_utc', 'start_utc < end_utc')}, counted AS (SELECT ground_station_id, k, count(*) AS n FROM numbered GROUP BY ALL) SELECT ground_station_id, lo AS start_us, hi AS end_us, n AS n_intervals FROM periods JOIN counted USING (ground_station_id, k)",
     "p5_periods": f"WITH {_PERIODS} SELECT ground_station_id, lo AS start_us, hi AS end_us FROM periods",
 }
