@@ -214,6 +214,11 @@ class MessageArchive:
                 Path(draft).write_bytes(content)
                 try:
                     os.link(draft, uri.getPath())
+                except FileExistsError:
+                    raise
+                except OSError:  # a mount without hard links: the file is created before its content
+                    with Path(uri.getPath()).open("xb") as f:
+                        f.write(content)
                 finally:
                     os.unlink(draft)
             else:

@@ -22,6 +22,8 @@ def local_session(cpus: int | str = "*", app: str = "groundlake", **more: str) -
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # the JVM never compiles methods of more bytes, as wide projections generate them; without whole-stage code these are split
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | more
     spark = SparkSession.builder.master(f"local[{cpus}]").appName(app).config(map=conf).getOrCreate()
