@@ -48,14 +48,14 @@ def decoded_table(spark: SparkSession, input_csv: str | None = None, input_sqlit
         raise ValueError("give exactly one of input_csv and input_sqlite")
     if input_csv is not None:
         rows = decode.from_hex(packets.read_csv(spark, input_csv).withColumn("_order", F.monotonically_increasing_id()))
-        out = decode.decode(rows)
+        out = decode.decode(rows.orderBy("_order"))
     else:
         raw = packets.read_archive(spark, input_sqlite)
-        out = decode.decode(decode.from_archive(raw).withColumn("hex_payload", F.concat("csp_header_hex", F.lower(F.hex("payload")))))
+        rows = decode.from_archive(raw).withColumn("hex_payload", F.concat("csp_header_hex", F.lower(F.hex("payload"))))
+        out = decode.decode(decode.by_receipt(rows))
     own = [c for c in decode.decoded_columns() if c not in (*decode.START, *_LAST)]
     extra = [c for c in out.columns if c not in (*_FIRST, *decode.START, *own, *_LAST, "_order")]
     special = [c for c in own if c.startswith(("tcmd_", "bulk_"))]
-    out = out.orderBy("_order") if input_csv is not None else decode.by_receipt(out)
     return out.select(*_FIRST, *decode.START, *special, *extra, *[c for c in own if c not in special], *_LAST)
 
 

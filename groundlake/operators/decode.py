@@ -220,9 +220,9 @@ def ordered(names: list[str]) -> list[str]:
     return [*[n for n in START if n in names], *reply, *bulk, *[n for n in names if n not in taken], *[n for n in END if n in names]]
 
 
-def by_receipt(decoded: DataFrame) -> DataFrame:
-    """Latest first; rows without a time come first."""
-    return decoded.orderBy(F.desc_nulls_first("received_timestamp"))
+def by_receipt(rows: DataFrame) -> DataFrame:
+    """Latest first; rows without a time come first. Decoding keeps the order, so narrow packets are best ordered before it."""
+    return rows.orderBy(F.desc_nulls_first("received_timestamp"))
 
 
 def type_counts(df: DataFrame) -> DataFrame:

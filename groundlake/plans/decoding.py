@@ -128,7 +128,7 @@ def decoded_by_receipt(spark: SparkSession, folder: str) -> DataFrame:
     rows = decode.from_archive(table(spark, folder, "packet"), "packet_id")
     late_first = F.coalesce(-F.unix_micros(F.col("received_timestamp").cast("timestamp")), F.lit(-(2**62)))
     placed = running_sums(rows.withColumn("_late", late_first), [], F.floor(F.col("_late") / F.lit(86_400_000_000)), ["_late", "packet_id"], {"place": F.lit(1)})
-    return decode.by_receipt(_typed(decode.decode(placed.drop("_late").withColumn("place", F.col("place").cast("bigint")))))
+    return _typed(decode.decode(decode.by_receipt(placed.drop("_late").withColumn("place", F.col("place").cast("bigint")))))
 
 
 QUERIES = {f.__name__: f for f in (packet_type_summary, beacon_basic, beacon_extended, beacon_native, telecommand_replies, log_messages, bulk_downlinks, peripheral_beacons, general_messages, beacon_fields, partial_packets, csp_headers, crc_summary, hex_packets, exported_packets, last_beacon, decoded_by_receipt)}
