@@ -130,18 +130,19 @@ def _read_token(value: str) -> list[tuple[str, int]]:
 class Vocabulary(dict):
     """Distinct tokens of a Python worker, each read once: token -> number. What a token says stands in arrays by number.
 
-    ``limit`` bounds it; a fuller one is begun anew between two batches.
+    ``limit`` bounds the tokens and ``chars`` their characters; a fuller one is begun anew between two batches.
     """
 
-    def __init__(self, limit: int = 500_000) -> None:
+    def __init__(self, limit: int = 500_000, chars: int = 20_000_000) -> None:
         super().__init__()
-        self.limit = limit
+        self.limit, self.chars, self.held = limit, chars, 0
         self.strings: dict[str, int] = {}
         self.first, self.count = [], []  # by token: its words
         self.kind, self.word, self.shape, self.digit, self.languages = [], [], [], [], []  # by word
 
     def __missing__(self, token: str) -> int:
         number = self[token] = len(self)
+        self.held += len(token)
         words = _read_token(token)
         self.first.append(len(self.kind))
         self.count.append(len(words))
@@ -156,8 +157,9 @@ class Vocabulary(dict):
 
     def read(self, texts: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """(words a text with line ends, columns of all words in order)."""
-        if len(self) > self.limit:
-            self.__init__(self.limit)
+        if len(self) > self.limit or self.held > self.chars:
+            self.clear()
+            self.__init__(self.limit, self.chars)
         tokens: list[int] = []
         lengths = []
         for text in texts:

@@ -237,9 +237,10 @@ def test_features_of_a_batch_are_those_of_each_text(spark):
     assert at.tolist() == [i for i, _ in want] and len(lang) == len(want)
     for got, (i, p) in zip(values.tolist(), want):
         assert got == pytest.approx(p, abs=1e-12), texts[i]
-    small = spam.Vocabulary(limit=5)  # begun anew for every text
-    for i, row in zip(at, values):
-        assert spam.features([texts[i]], vocabulary=small)[2][0] == pytest.approx(row, abs=1e-12)
+    for small in (spam.Vocabulary(limit=5), spam.Vocabulary(chars=20)):  # begun anew for nearly every text
+        for i, row in zip(at, values):
+            assert spam.features([texts[i]], vocabulary=small)[2][0] == pytest.approx(row, abs=1e-12)
+        assert len(small) < 400
 
 
 def test_statistics_of_rare_languages(spark):
