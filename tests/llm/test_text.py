@@ -255,3 +255,12 @@ def test_statistics_of_rare_languages(spark):
         whole, prior = stats["all"][0][0], spam.Rule().prior
         assert stats["de"][0][0] == pytest.approx((n * 0.21 + prior * whole) / (n + prior), abs=0.01)
     assert centres == sorted(centres, reverse=True) and centres[2] - centres[3] < 0.001  # no switch by size
+
+
+def test_queries_over_empty_tables(spark, tmp_path):
+    from groundlake.llm import queries
+
+    for name in ("documents", "source_target"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
