@@ -73,7 +73,7 @@ def sheet_agenda(spark: SparkSession, folder: str) -> DataFrame:
     i = F.col("agenda_id")
     single = i % 3 != 0
     clock = F.format_string("%d:%02d:%02d", i % 24, i % 30, i % 60)
-    sheet = table(spark, folder, "agenda").select(
+    sheet = table(spark, folder, "agenda").filter("agenda_id IS NOT NULL").select(
         i.cast("int").alias("row_no"), F.when(single, " Single").otherwise("interval").alias("Mode"), F.when(single & (i % 11 == 0), "past").otherwise(F.format_string("%d:%d", i % 24, i % 60)).alias("tssent (UTC)"),
         F.when(single & (i % 13 == 0), "0").otherwise(clock).alias("tsexec Start (UTC)"), F.format_string("%d:%02d:%02d", i % 24, i % 30 + i % 7, i % 60).alias("tsexec End (UTC)"),
         F.when(i % 2 == 0, "30 sec").otherwise("1.5 Minutes").alias("Interval"), F.concat(F.lit("CTS1+cmd_{DATE}("), i.cast("string"), F.lit(")!")).alias("Telecommand"), F.when(i % 2 == 0, "").otherwise("log_{DATE}.txt").alias("resp_fname"),
