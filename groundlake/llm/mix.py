@@ -13,6 +13,8 @@ next document.
 Scale: keys are cut into bins of equal probability, token sums of (source, bin) are prefix-summed over bins, and
 only the one bin in which a source's budget ends is ordered document by document. The number of bins follows the
 largest source's documents, so that bin holds about ``bin_rows`` of them whatever the size of a source.
+Ids are written once and read twice, to fit the quality model on all of them and to weigh each; only the model's
+counts, a row a target source and bucket, meet in the driver.
 
 Quality weight: see ``quality_model``; any positive column may take its place. Draws are hashes of seed, source and
 document id, so the result depends on neither partitioning nor retries.
@@ -44,37 +46,34 @@ LEAST, MOST = 0.25, 1.0  # range of the weight
 def _buckets(ids: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of every id, tokens a row)."""
     offsets = ids.offsets.to_numpy()
-    values = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
-    return values * 2_654_435_761 % (1 << 32) >> 20, np.diff(offsets)
+    values = ids.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.uint32)
+    return values * np.uint32(2_654_435_761) >> np.uint32(20), np.diff(offsets)  # modulo 2^32, as 32 bits wrap
 
 
-def quality_model(documents: DataFrame, *, seed: int = 7, sample: int = 2_000, path: str | None = None) -> dict[str, np.ndarray]:
+def quality_model(ids: DataFrame) -> dict[str, np.ndarray]:
     """{source: log ratio by bucket of tokens}: how much more frequent a bucket is in the source than in all of them.
 
-    A naive Bayes classifier of the source, fitted on about ``sample`` labelled documents, which a hash of their ids
-    draws; the bound is this parameter. Counts are smoothed by the frequencies of all sources.
+    A naive Bayes classifier of the source, fitted on all rows of (k: doc_id and source, ids). Counts are smoothed by
+    the frequencies of all sources.
     """
-    n = documents.count()
-    if not n:
-        return {}
-    drawn = documents.filter(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(max(1, n // sample))) == 0)
-    ids = encode(drawn.select("source", "text"), "source", "text", path=path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bucket, size = _buckets(b.column(1))
-            source = b.column(0).dictionary_encode()
+            source = b.column(0).field("source").dictionary_encode()
             own = np.repeat(source.indices.to_numpy(zero_copy_only=False), size) * BUCKETS + bucket
-            found, times = np.unique(own, return_counts=True)
-            yield pa.RecordBatch.from_arrays([source.dictionary.take(pa.array(found // BUCKETS)), pa.array(found % BUCKETS), pa.array(times)], ["source", "bucket", "n"])
-
-    counts = ids.mapInArrow(count, "source string, bucket bigint, n bigint").groupBy("source").agg(F.collect_list(F.struct("bucket", "n")).alias("c"))
-    tables = {}
-    for r in counts.collect():  # a row a target source, of at most BUCKETS entries a batch of the bounded sample
-        tables[r["source"]] = np.bincount([x["bucket"] for x in r["c"]], [x["n"] for x in r["c"]], minlength=BUCKETS)
-    whole = sum(tables.values()) + 1.0
+            times = np.bincount(own)
+            found = np.flatnonzero(times)
+            yield pa.RecordBatch.from_arrays([source.dictionary.take(pa.array(found // BUCKETS)), pa.array(found % BUCKETS), pa.array(times[found])], ["source", "bucket", "n"])
+
+    cells = ids.select("k", "ids").mapInArrow(count, "source string, bucket bigint, n bigint").groupBy("source", "bucket").agg(F.sum("n").alias("n"))
+    cells = cells.toArrow()  # at most BUCKETS rows a target source, whatever the number of documents
+    names = cells.column("source").combine_chunks().dictionary_encode()
+    tables = np.zeros((len(names.dictionary), BUCKETS))
+    tables[names.indices.to_numpy(zero_copy_only=False), cells.column("bucket").to_numpy()] = cells.column("n").to_numpy()
+    whole = tables.sum(axis=0) + 1.0
     whole /= whole.sum()
-    return {s: np.log((t + BUCKETS * whole) / (t.sum() + BUCKETS) / whole) for s, t in tables.items()}
+    return {s: np.log((t + BUCKETS * whole) / (t.sum() + BUCKETS) / whole) for s, t in zip(names.dictionary.to_pylist(), tables, strict=True)}
 
 
 def weighed(ids: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
@@ -109,13 +108,15 @@ class Mix:
     shares: DataFrame
 
 
-def sized(documents: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 7) -> DataFrame:
-    """(doc_id, source, weight, n_tokens) of documents with a target, written once and read back."""
+def sized(documents: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, source, weight, n_tokens) of documents with a target, written once and read back.
+
+    Ids are written too: the model is fitted on all of them before the first one is weighed.
+    """
     wanted = targets.filter("target_share > 0 AND max_repeats > 0").select("source").distinct()
     rows = documents.select("doc_id", "text", "source").filter("source IS NOT NULL AND text IS NOT NULL").join(wanted, "source", "left_semi")
-    model = quality_model(rows, seed=seed, path=path)
-    ids = encode(rows.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text", path=path)
-    return written(weighed(ids, model), "sized")
+    ids = written(encode(rows.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text", path=path), "ids")
+    return written(weighed(ids, quality_model(ids)), "sized")
 
 
 def plan(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -179,4 +180,4 @@ def select_documents(sizes: DataFrame, targets: DataFrame, *, total_tokens: int
 
 def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, seed: int = 7, path: str | None = None) -> Mix:
     """Mixes documents to targets (source, target_share, max_repeats)."""
-    return select_documents(sized(documents, targets, path, seed), targets, total_tokens=total_tokens, seed=seed)
+    return select_documents(sized(documents, targets, path), targets, total_tokens=total_tokens, seed=seed)

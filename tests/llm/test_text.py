@@ -134,6 +134,32 @@ def test_quality_prefers_what_is_typical_of_its_source(spark):
     assert min(w for k, w in weight.items() if k < 1000) > max(weight[1000], weight[1001]) + 0.1
 
 
+def test_quality_is_fitted_on_all_documents(spark, tok):
+    import numpy as np
+
+    g = random.Random(5)
+    words = [[f"{a}{b}" for a in x for b in ("rotor", "panel", "cable", "x")] for x in (("sun", "dark", "cold"), ("10:", "11:", "12:"), ("ÿ", "日", "=="))]
+    docs = [(k, " ".join(g.choice(words[k % 2] + words[2]) for _ in range(g.randint(1, 12))), ("log", "mail")[k % 2]) for k in range(6000)]
+    docs += [(k, " ".join(words[2]), "rare") for k in (6001, 6002, 6002)]  # repeated rows count each
+    docs += [(6003, "solar " * 900, "mail"), (6004, "", "mail"), (6005, "not wanted " * 50, "other"), (6006, "no source " * 50, None)]
+    tokens = [(k, s, np.array(tok.encode(t), np.int64) * 2_654_435_761 % (1 << 32) >> 20) for k, t, s in docs if t and s in ("log", "mail", "rare")]
+    tables = {s: sum(np.bincount(b, minlength=mix.BUCKETS) for _, x, b in tokens if x == s) for s in ("log", "mail", "rare")}
+    whole = sum(tables.values()) + 1
+    whole = whole / whole.sum()
+    model = {s: np.log((t + mix.BUCKETS * whole) / (t.sum() + mix.BUCKETS) / whole) for s, t in tables.items()}
+    want = {k: mix.LEAST + (mix.MOST - mix.LEAST) / (1 + np.exp(-model[s][b].mean())) for k, s, b in tokens}
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("log", 0.5, 2), ("mail", 0.3, 2), ("rare", 0.2, 2), ("missing", 0.1, 2)], "source string, target_share double, max_repeats int")
+    weights = lambda d: sorted((r.doc_id, r.weight, r.n_tokens) for r in mix.sized(d, targets).collect())
+    got = weights(df)
+    assert {k: w for k, w, _ in got} == pytest.approx(want, abs=1e-12) and len(got) == len(tokens)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        assert weights(df.repartition(7)) == got  # bit by bit, however the rows are laid out
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_mix_of_texts_with_nulls(spark):
     docs = [(1, "some words here", "a"), (2, None, "a"), (3, "", "a"), (4, "   ", None), (5, "12 34", "b"), (5, "12 34", "b")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string").selectExpr("*", "1 AS n_tokens", "2 AS weight")
